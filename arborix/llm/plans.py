@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from arborix.llm import personal
 from arborix.llm.groups import groups
 from arborix.llm.tokens import encode
 from arborix.llm.topn import top_n
@@ -23,7 +24,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p9_found, p9_redacted)}
 
 SQL = {
     "p2_found": """
