@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborix.llm import personal
 from arborix.llm.groups import groups
+from arborix.llm.leaks import leaks
 from arborix.llm.tokens import encode
 from arborix.llm.topn import top_n
 from arborix.session import table
@@ -24,6 +25,21 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim and paraphrased passages of evaluation items in documents."""
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation item that leaked: its set and the documents it stands in."""
+    n = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}")
+    return p8_leaks(spark, d).groupBy("item_id").agg(n("verbatim"), n("paraphrase")).join(table(spark, d, "eval_items").select("item_id", "set_name"), "item_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.find(table(spark, d, "documents"), "doc_id", "text")
 
@@ -32,7 +48,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_ids, p8_found, p8_leaks, p8_items, p9_found, p9_redacted)}
 
 SQL = {
     "p2_found": """
