@@ -26,9 +26,9 @@ from arborix.llm import passages as P
 from arborix.llm.spread import spread
 from arborix.session import Scratch
 
-#: Words of items in a block. A block's vocabulary, windows and basis are broadcast: at most 400,000 words x 138 floats, 220 MB.
+#: Words of items in a block. A block's vocabulary, windows and basis are broadcast: at most 400,000 words x 74 floats, 120 MB.
 BLOCK = 400_000
-RANK, OVERSAMPLE, THRESHOLD, PARAPHRASE = 128, 8, 0.5, 16
+RANK, OVERSAMPLE, THRESHOLD, PARAPHRASE = 64, 10, 0.45, 16
 ROWS, PAIRS, TERMS = 2_048, 20_000, 64
 CELLS = 4_000_000
 
@@ -139,6 +139,8 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
                 near, which = np.nonzero(P.project(part, basis) @ latent.T >= threshold)
                 for at in range(0, len(near), PAIRS):
                     x, y = near[at : at + PAIRS], which[at : at + PAIRS]
+                    both = P.sharing(part[x], own[y], min(P.RUN, paraphrase))
+                    x, y = x[both], y[both]
                     a, b = part[x], own[y]
                     subsequence, run = P.longest(a, b)
                     para = subsequence >= paraphrase

@@ -50,10 +50,25 @@ def project(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def sharing(a: np.ndarray, b: np.ndarray, least: int, chunk: int = 4_096) -> np.ndarray:
+    """The pairs of windows with at least ``least`` places of a whose word also stands in b: all that can pass the checks."""
+    small = np.int16 if max(a.max(initial=0), b.max(initial=0)) < 32_000 else np.int32
+    out = []
+    for lo in range(0, len(a), chunk):
+        x, y = a[lo : lo + chunk].astype(small), b[lo : lo + chunk].astype(small)
+        x[x < 0] = -9  # matches neither an unknown word nor the padding
+        found = x == y[:, :1]
+        for j in range(1, LENGTH):
+            found |= x == y[:, j : j + 1]
+        out.append(np.flatnonzero(found.sum(1) >= least) + lo)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest common subsequence and longest common run of each pair of windows (ids below 0 match nothing)."""
     same = (a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]
-    bits = (same * (np.uint32(1) << np.arange(LENGTH, dtype=np.uint32))).sum(2, dtype=np.uint32)
+    octets = np.packbits(same, axis=2, bitorder="little").astype(np.uint32)
+    bits = octets[:, :, 0] | octets[:, :, 1] << np.uint32(8) | octets[:, :, 2] << np.uint32(16)
     full = np.uint32((1 << LENGTH) - 1)
     v = np.full(len(a), full, np.uint64)
     for i in range(LENGTH):
