@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborix.plans import problems
+from arborix.plans import matches, problems, structure
 
-MODULES = [problems]
+MODULES = [problems, structure, matches]
 
 
 def queries() -> dict:
