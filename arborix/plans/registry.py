@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborix.plans import matches, problems, structure
+from arborix.plans import matches, problems, structure, trees
 
-MODULES = [problems, structure, matches]
+MODULES = [problems, structure, matches, trees]
 
 
 def queries() -> dict:
