@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborix.plans import matches, problems, structure, trees
+from arborix.plans import matches, problems, sequences, structure, trees
 
-MODULES = [problems, structure, matches, trees]
+MODULES = [problems, structure, matches, trees, sequences]
 
 
 def queries() -> dict:
