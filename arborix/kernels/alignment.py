@@ -81,7 +81,7 @@ def align(a: str, b: str, local: bool = False, cells: int = CELLS, limit: int =
         i, j, k, ie, je, ops = stack.pop()
         here = T[k][i, j]
         if k == 0 and ((local and here == 0) or (i == 0 and j == 0)):
-            found[(i, ie, j, je, ops)] = None
+            found[(i, ie, j, je, unlink(ops))] = None
             if len(found) > limit:
                 return out | {"score": best, "status": "too_many"}
             continue
@@ -90,24 +90,33 @@ def align(a: str, b: str, local: bool = False, cells: int = CELLS, limit: int =
                 s = score[i - 1, j - 1]
                 fresh = local and here == s
                 if fresh:
-                    stack.append((i - 1, j - 1, 0, ie, je, ("M", *ops))) if M[i - 1, j - 1] == 0 else found.setdefault((i - 1, ie, j - 1, je, ("M", *ops)))
+                    stack.append((i - 1, j - 1, 0, ie, je, ("M", ops))) if M[i - 1, j - 1] == 0 else found.setdefault((i - 1, ie, j - 1, je, unlink(("M", ops))))
                     if len(found) > limit:
                         return out | {"score": best, "status": "too_many"}
                 for q in range(3):
                     if T[q][i - 1, j - 1] > NONE // 2 and T[q][i - 1, j - 1] + s == here and not (fresh and T[q][i - 1, j - 1] == 0):
-                        stack.append((i - 1, j - 1, q, ie, je, ("M", *ops)))
+                        stack.append((i - 1, j - 1, q, ie, je, ("M", ops)))
         elif k == 1 and i:
             for q, cost in ((0, OPEN), (2, OPEN), (1, EXTEND)):
                 if T[q][i - 1, j] > NONE // 2 and T[q][i - 1, j] + cost == here:
-                    stack.append((i - 1, j, q, ie, je, ("I", *ops)))
+                    stack.append((i - 1, j, q, ie, je, ("I", ops)))
         elif k == 2 and j:
             for q, cost in ((0, OPEN), (1, OPEN), (2, EXTEND)):
                 if T[q][i, j - 1] > NONE // 2 and T[q][i, j - 1] + cost == here:
-                    stack.append((i, j - 1, q, ie, je, ("D", *ops)))
+                    stack.append((i, j - 1, q, ie, je, ("D", ops)))
     rows = [{"a_start": s + 1, "a_end": e, "b_start": t + 1, "b_end": f, "cigar": cigar(ops)} for s, e, t, f, ops in sorted(found)]
     return {"score": best, "status": "complete", "alignments": rows}
 
 
+def unlink(ops) -> str:
+    """The operations of a linked path, as text."""
+    out = []
+    while ops:
+        out.append(ops[0])
+        ops = ops[1]
+    return "".join(out)
+
+
 def cigar(ops) -> str:
     """Run lengths of operations."""
     out, last, n = [], "", 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborix.plans import matches, problems, sequences, structure, trees
+from arborix.plans import kernels, matches, problems, sequences, structure, trees
 
-MODULES = [problems, structure, matches, trees, sequences]
+MODULES = [problems, structure, matches, trees, sequences, kernels]
 
 
 def queries() -> dict:
