@@ -40,15 +40,18 @@ def occurrences(seq: Column, query: Column) -> Column:
 
 
 def translate_codons(seq: Column) -> Column:
-    """Amino acids of the whole codons; a codon with an unknown base is X."""
-    starts = F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3))
-    place = lambda s, k: F.instr(F.lit(BASES), F.substr(seq, s + k, F.lit(1))) - 1
+    """Amino acids of the whole codons; a codon with an unknown base is X.
 
-    def acid(s: Column) -> Column:
-        a, b, c = (place(s, k) for k in range(3))
+    The codons are cut once; nothing inside the lambda refers to the whole sequence, which would be computed again for each.
+    """
+    codons = F.regexp_extract_all(seq, F.lit("(?s)(.{3})"), F.lit(1))
+    place = lambda x, k: F.instr(F.lit(BASES), F.substr(x, F.lit(k), F.lit(1))) - 1
+
+    def acid(x: Column) -> Column:
+        a, b, c = (place(x, k) for k in (1, 2, 3))
         return F.when((a >= 0) & (b >= 0) & (c >= 0), F.substr(F.lit(CODE), a * 16 + b * 4 + c + 1, F.lit(1))).otherwise("X")
 
-    return F.when(F.length(seq) < 3, "").otherwise(F.array_join(F.transform(starts, acid), ""))
+    return F.array_join(F.transform(codons, acid), "")
 
 
 def expected_phase(length: Column, phase: Column) -> Column:
