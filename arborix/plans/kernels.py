@@ -205,7 +205,7 @@ def bootstrap_changes(spark, d, draws: int = 200):
         steps.append(total)
     times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", times)
-    means = drawn.groupBy("p_brand", "draw").agg((F.sum(F.col("k") * F.col("min_cost")) / F.sum("k")).alias("mean"))
+    means = drawn.groupBy("p_brand", "draw").agg(F.try_divide(F.sum(F.col("k") * F.col("min_cost")).cast("double"), F.sum("k")).alias("mean"))
     q = lambda p: F.round(F.percentile("mean", p), 6)
     return means.groupBy("p_brand").agg(q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
 
@@ -218,7 +218,7 @@ def precision_recall(spark, d):
     n = lambda c: F.sum(c.cast("long"))
     rows = _matches(spark, d).groupBy(status.state(F.col("distance_class")).alias("distance_class")).agg(n(said & true).alias("tp"), n(said & ~true).alias("fp"), n(~said & true).alias("fn"))
     c = F.col
-    return rows.select("distance_class", "tp", "fp", "fn", F.round(c("tp") / (c("tp") + c("fp")), 6).alias("precision"), F.round(c("tp") / (c("tp") + c("fn")), 6).alias("recall"), F.round(2 * c("tp") / (2 * c("tp") + c("fp") + c("fn")), 6).alias("f1"))
+    return rows.select("distance_class", "tp", "fp", "fn", F.round(F.try_divide(c("tp"), c("tp") + c("fp")), 6).alias("precision"), F.round(F.try_divide(c("tp"), c("tp") + c("fn")), 6).alias("recall"), F.round(F.try_divide(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")), 6).alias("f1"))
 
 
 def intron_flanks(spark, d):
@@ -257,7 +257,7 @@ SELECT rate, round(sum(ln((exp(r0) + exp(r1) + exp(r2)) / 3)), 3) AS log_likelih
     + f""", t AS (SELECT *, {_T} AS t FROM m), s AS (SELECT CASE WHEN distance_class IS NULL OR trim(distance_class) IN ('', 'NA', '.', '?', 'unknown') THEN 'unknown' ELSE trim(distance_class) END AS distance_class,
 coalesce((alignment_score >= t AND coverage_score >= 0.45::DOUBLE) OR (alignment_score >= t + 0.15::DOUBLE AND coverage_score >= 0.30::DOUBLE), false) AS said, coalesce(match_status = 'mapped', false) AS yes FROM t),
 c AS (SELECT distance_class, count(*) FILTER (said AND yes) AS tp, count(*) FILTER (said AND NOT yes) AS fp, count(*) FILTER (NOT said AND yes) AS fn FROM s GROUP BY 1)
-SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
+SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""",
     "intron_flanks": OCC
     + """, i AS (SELECT gene_copy_id, contig, occurrence_id AS intron_id, start AS at_ FROM occ WHERE role = 'intron')
 SELECT intron_id, (SELECT max({'s': e.start, 'o': e.occurrence_id}).o FROM ex e WHERE e.gene_copy_id = i.gene_copy_id AND e.contig = i.contig AND e.start < at_) AS left_id,

@@ -101,7 +101,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_copy_coverage, p3_found, p3_coun
 _P1 = """
 WITH r AS (SELECT gene_copy_id, contig, start AS s, "end" AS e FROM segment_occurrences WHERE gene_copy_id IS NOT NULL AND contig IS NOT NULL AND start <= "end"),
 m AS (SELECT *, max(e) OVER (PARTITION BY gene_copy_id, contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
-l AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY gene_copy_id, contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+l AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY gene_copy_id, contig ORDER BY s, e, p NULLS FIRST ROWS UNBOUNDED PRECEDING) AS i FROM m),
 a AS (SELECT gene_copy_id, contig, i, min(s) AS s, max(e) AS e FROM l GROUP BY ALL),
 g AS (SELECT *, lag(e) OVER (PARTITION BY gene_copy_id, contig ORDER BY s) AS p FROM a),
 found AS (SELECT gene_copy_id, contig, 'period' AS kind, s AS start_pos, e AS end_pos FROM a

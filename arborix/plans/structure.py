@@ -198,7 +198,7 @@ ex AS (SELECT * FROM occ WHERE role IN ('CDS', 'exon', 'UTR'))
 _SPANS = OCC + ", spans AS (SELECT family_id, species, gene_copy_id, min(contig) AS contig, min(start) AS s, max(\"end\") AS e, list_sort(list(DISTINCT role)) AS roles FROM occ GROUP BY ALL)"
 _MERGED = """
 , m0 AS (SELECT {keys}, start AS s, "end" AS e, max("end") OVER (PARTITION BY {keys} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ex),
-m1 AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m0),
+m1 AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e, p NULLS FIRST ROWS UNBOUNDED PRECEDING) AS i FROM m0),
 merged AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM m1 GROUP BY {keys}, i)
 """
 _C = "family_id, species, gene_copy_id"
@@ -235,7 +235,7 @@ n AS (SELECT {_C}, contig, count(*) AS n_parts FROM ex GROUP BY ALL)
 SELECT {_C}, contig, n_parts, covered, overlap, width - covered AS uncovered, CASE WHEN n_parts = 1 THEN 'single_projection' WHEN overlap > 0 THEN 'repeated_overlap' ELSE 'complementary_disjoint' END AS relation FROM ag JOIN n USING ({_C}, contig)""",
     "interval_components": OCC
     + f""", m0 AS (SELECT *, max("end") OVER (PARTITION BY {_C}, contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ex),
-m1 AS (SELECT *, sum(CASE WHEN p IS NULL OR start >= p THEN 1 ELSE 0 END) OVER (PARTITION BY {_C}, contig ORDER BY start, "end" ROWS UNBOUNDED PRECEDING)::BIGINT AS component FROM m0)
+m1 AS (SELECT *, sum(CASE WHEN p IS NULL OR start >= p THEN 1 ELSE 0 END) OVER (PARTITION BY {_C}, contig ORDER BY start, "end", p NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS component FROM m0)
 SELECT {_C}, contig, component, min(start) AS start, max("end") AS "end", count(*) AS n_members FROM m1 GROUP BY {_C}, contig, component""",
     "adjacency_edges": OCC
     + f", a AS (SELECT *, lead(occurrence_id) OVER w AS r, row_number() OVER w AS k FROM occ WINDOW w AS (PARTITION BY {_C} ORDER BY transcript_order NULLS FIRST, start, occurrence_id)) SELECT {_C}, k AS adjacency_no, occurrence_id AS left_occurrence_id, r AS right_occurrence_id FROM a WHERE r IS NOT NULL",
