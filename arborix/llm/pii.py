@@ -50,6 +50,7 @@ PHONE = re.compile(
     rf"""(?:
       \+1{G}?\(\d{{3}}\){G}?\d{{3}}[-. ]\d{{4}} | \+1[-. ]\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}
     | \(\d{{3}}\){G}?\d{{3}}[-. ]\d{{4}} | [2-9]\d{{2}}([-. ])\d{{3}}\1\d{{4}}
+    | \+44{G}?\d{{2,4}}{G}?\d{{3,4}}{G}?\d{{4}} | \+33{G}?[1-9](?:{G}?\d{{2}}){{4}} | \+49{G}?\d{{2,4}}{G}?\d{{4,5}}{G}?\d{{3,4}} | \+1{G}?\d{{10}}
     | \+(?:\d{G}?){{9,13}}\d | \+\d{{1,3}}(?:[-. /]\d{{1,5}}){{2,6}} | \+\d{{1,3}}{G}?\(0?\){G}?\d{{1,4}}(?:[-. /]\d{{2,8}}){{1,4}}
     | 0044-\d{{2,4}}-\d{{3,4}}-\d{{4}} | 0044(?:{G}?\d){{10}} | 0049{G}?\d{{2,4}}{G}\d{{5}}{G}?-?\d{{3}} | 0033(?:{G}?\d){{9}}
     | \(0\)\d{{2,4}}{G}\d{{4,5}}[- ]\d{{2,4}} | 0\d{{2,4}}/\d{{6,8}} | 020{G}\d{{4}}{G}\d{{4}} | 0\d{{2}}{G}\d{{5}}[- ]\d{{3}} | 0[1-9](?:[. ]\d{{2}}){{4}} | 0[1-9]\d{{8}}
@@ -60,7 +61,7 @@ ID = re.compile(
     r"""(?:
       \d{3}-\d{2}-\d{4} | \d{3}[ ]\d{2}[ ]\d{4} | [A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D] | X[YZ]\d{7} | [A-Z]{2}\d{3}[A-Z]\d{4} | \d{8}-?[A-Z]
     | [0-9][ ]\d{2}[ ]\d{2}[ ]\d{2}[ ]\d{3}[ ]\d{3}[ ]\d{2} | [0-9]\d{12}(?:\d{2})? | \d{2}[ ]\d{3}[ ]\d{3}[ ]\d{3} | \d{11}
-    )(?![\w-]|[ ]\d{3}(?!\d))""",
+    )(?![\w-])""",
     re.X,
 )
 #: The forms that show without a cue what they are.
@@ -69,16 +70,21 @@ TO_NUMBER = re.compile(r"[^\d\n+(]{0,14}?(?=[+(\d])")
 TO_ID = re.compile(r"[^\n\d]{0,16}?(?=\b[A-Z0-9])")
 
 _UP = r"[A-ZÀ-ÖØ-Þ]"
-_WORD = rf"{_UP}[\w'’-]+"
-STREET_LEFT = re.compile(rf"(?<![\w.,:/+-])\d{{1,4}}(?: ?[A-Za-z](?![\w]))?,?\s(?:{_WORD}\s|St\.?\s|Of\s|of\s|the\s){{0,4}}(?:{_WORD}|St\.?)\Z")
-FRENCH_LEFT = re.compile(r"(?<![\w.:/+-])\d{1,4}(?:\s?(?:bis|ter|quater|[a-zA-Z]))?,?\s\Z")
-_LINK = r"(?:(?:du|des|de\sla|de\sl['’]|d['’]|de|del|de\slos|de\slas|la|le|los|las|do|da|dos|das|et|y|e)\s?)"
-FRENCH_RIGHT = re.compile(rf"(?:rue|avenue|boulevard|impasse|chemin|allée|quai|place)\s(?:{_LINK}\s?)*{_WORD}(?:\s(?:{_LINK})?{_WORD})*", re.U)
-SPANISH = re.compile(rf"(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Rua|Travessa|Largo|Praça|Alameda)\s(?:{_LINK}\s?)*{_WORD}(?:\s(?:{_LINK}\s?)*{_WORD})*,?\s(?:n[.ºo°]{{1,2}}\s?)?\d{{1,4}}(?:\s?[a-zA-Z](?!\w))?")
-GERMAN_LEFT = re.compile(rf"(?:(?:{_UP}[\w-]+|Am|An\sder|Im|Zum|Zur)\s){{0,2}}{_UP}?[\w-]*\Z")
-GERMAN_NUMBER = re.compile(r"\s\d{1,4}\s?[a-zA-Z]?(?!\w)")
-GERMAN_PREP = re.compile(rf"(?:Am|An\sder|Im|Zum|Zur)\s(?:{_UP}[\w-]+\s){{1,3}}\d{{1,4}}\s?[a-zA-Z]?(?!\w)")
-STREET_TAIL = re.compile(r"(?:Rd|St|Sq)?\.?(?!\w)")
+_WORD = rf"{_UP}[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w])"
+STREET_LEFT = re.compile(rf"(?<![\w.,:/+-])\d{{1,4}}[A-Za-z]?,?\s(?:(?:{_WORD}|St\.|of|the)\s){{0,4}}(?:{_WORD}|St\.?)\Z")
+FRENCH_LEFT = re.compile(r"(?<![\w.:/+-])\d{1,4}(?: ?(?:bis|ter|quater)|[a-zA-Z])?,?\s\Z")
+_LINK = r"(?:(?:du|des|de la|de l['’]|d['’]|de|del|de los|de las|la|le|los|las|do|da|dos|das|et|y|e) ?)"
+FRENCH_RIGHT = re.compile(rf"(?:rue|avenue|boulevard|impasse|chemin|allée|quai|place) (?:{_LINK} ?)*{_WORD}")
+FRENCH_MORE = re.compile(rf" (?:{_LINK})?({_WORD})")
+SPANISH = re.compile(rf"(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Rua|Travessa|Largo|Praça|Alameda) (?:{_LINK} ?)*{_WORD}(?: (?:{_LINK} ?)*{_WORD})*,?\s(?:n[.ºo°]{{1,2}} ?)?\d{{1,4}}[a-zA-Z]?(?!\w)")
+GERMAN_NUMBER = re.compile(r"\s\d{1,4}[a-zA-Z]?(?!\w)")
+GERMAN_PREP = re.compile(rf"(?:Am|An der|Im|Zum|Zur) (?:{_UP}[\w-]+ ){{1,3}}\d{{1,4}}[a-zA-Z]?(?!\w)")
+#: Words that open a sentence and so are no part of a street's name that stands before them.
+OPENERS = frozenset(
+    "The It In On At Of For With When If Since Both Each Every Some No One Two This That These Those Please See Set After Before Until Under Without Within Should Is Are Was Were Which What Where Who Why How Nobody We They "
+    "Call Write Send Questions Use Old Dr Mr Ms Mrs Prof Signed Contact Thanks Cordialement Atentamente Obrigado Obrigada Gruß Merci".split()
+)
+COPULA = re.compile(r" (?:is|was|est|está|ist|fica)\b")
 #: Words before a German street that are no part of it.
 STOP_LEFT = ("In", "Der", "Die", "Das", "Den", "Dem", "Adresse", "Anschrift", "Le", "La", "Ship", "Address", "At", "To")
 
@@ -192,10 +198,18 @@ class Scan:
             return
         if left := FRENCH_LEFT.search(t, max(0, a - 14), a):
             if right := FRENCH_RIGHT.match(t, a):
-                self.add(left.start(), right.end(), "street_address")
+                self.add(left.start(), self.french_end(right.end()), "street_address")
         elif m := SPANISH.match(t, a):
             self.add(a, m.end(), "street_address")
 
+    def french_end(self, end: int) -> int:
+        """Further capitalised words of the name; the last one isn't if a sentence goes on behind it."""
+        t, last = self.text, end
+        while (m := FRENCH_MORE.match(t, end)) and m.group(1) not in OPENERS and m.group(1).lower() not in GIVEN:
+            last, end = end, m.end()
+        goes_on = end > last and re.match(r" [a-zà-ÿ0-9]|'s", t[end : end + 4]) and not COPULA.match(t, end)
+        return last if goes_on else end
+
     def street_joined(self, a: int, b: int) -> None:
         t = self.text
         if m := GERMAN_PREP.match(t, a):
