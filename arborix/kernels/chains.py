@@ -76,3 +76,30 @@ def greedy_clusters(edges: list[tuple[float, float, str, str]], owner: dict[str,
                 of[y] = i
                 members[i].append(y)
     return {x: min(members[i]) for x, i in of.items()}
+
+
+def local_members(blocks: list[tuple[str, str, int, int]], matches: list[tuple[str, str]]) -> dict[str, str]:
+    """Blocks (id, segment, start, end) of one element to local elements: the two sides of a match belong together, and
+    overlapping blocks of one segment. A local element is named by its smallest block."""
+    up = {b[0]: b[0] for b in blocks}
+
+    def find(x: str) -> str:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(a: str, b: str) -> None:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+
+    for a, b in matches:
+        if a in up and b in up:
+            join(a, b)
+    last: dict[str, tuple[int, str]] = {}
+    for name, segment, start, end in sorted(blocks, key=lambda x: (x[1], x[2], x[3], x[0])):
+        if segment in last and start <= last[segment][0]:
+            join(name, last[segment][1])
+            end = max(end, last[segment][0])
+        last[segment] = (end, name)
+    return {x: find(x) for x in up}

@@ -69,3 +69,29 @@ def best_hit(query: str, target: str) -> tuple[int, float] | None:
     share = ((windows == q) & known).sum(1) / len(q)
     at = int(share.argmax())
     return at + 1, float(share[at])
+
+
+def tracts(rows: dict[str, str], least: int = 1) -> list[tuple[int, int, dict[str, int | None]]]:
+    """Variable stretches of an alignment: (start, end, presence of each row), half-open columns that don't overlap.
+
+    Borders are those of all gap runs; a row is present (1) with a base in the stretch, absent (0) with a qualified gap
+    over all of it, otherwise unknown (null). Stretches without a qualified gap are left out.
+    """
+    width = len(next(iter(rows.values())))
+    cuts = sorted({0, width, *(x for r in rows.values() for run in runs(r) for x in run)})
+    out = []
+    for s, e in zip(cuts, cuts[1:]):
+        if e - s < least:
+            continue
+        state = {}
+        for name, row in rows.items():
+            part = row[s:e]
+            left = next((a for a, b in runs(row) if a <= s and e <= b), None)
+            if set(part) == {"-"}:
+                a, b = next((a, b) for a, b in runs(row) if a <= s and e <= b) if left is not None else (s, e)
+                state[name] = 0 if gap_qualified(rows, name, a, b) else None
+            else:
+                state[name] = 1 if _known(part).any() else None
+        if 0 in state.values() and 1 in state.values():
+            out.append((s, e, state))
+    return out
