@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from arborix.functions import status
-from arborix.operators import copies as O, sites as S
+from arborix.operators import copies as O, ranges, sites as S
 from arborix.plans.matches import _M, _matches
 from arborix.plans.structure import OCC, PATH, _ORDER, _P, _exonic, _occ
 from arborix.plans.trees import _CELLS, GAIN, INNER, LOSS, OUTER, _cells, _edges, _tips
@@ -97,7 +97,41 @@ def foreground_branches(spark, d):
     return rows.groupBy(F.when(F.col("region") == F.col("top"), "foreground").otherwise("background").alias("scope")).agg(F.count("*").alias("n_branches"), F.sum((F.col("state") != F.col("majority")).cast("long")).alias("n_changed"))
 
 
-QUERIES = {f.__name__: f for f in (single_copy_families, homology_coverage, completion_calls, junction_observations, posterior_summary, event_labels, ascertainment_correction, foreground_branches)}
+def block_roles(spark, d):
+    """Role of each intron block among the transcripts of its copy, and what all of them together say.
+
+    Exonic inside an exonic segment of the same strand, conflicting if it only touches one, not exonic inside the span of
+    a transcript without touching, otherwise uncovered. One exonic transcript is enough; not exonic takes all of them.
+    """
+    occ = _occ(spark, d)
+    keys = ["gene_copy_id", "contig"]
+    blocks = occ.where("role = 'intron'").select(*keys, "strand", F.col("occurrence_id").alias("block_id"), "start", "end")
+    exons = _exonic(spark, d).where("transcript_id is not null").select(*keys, "transcript_id", "strand", "start", "end")
+    c = F.col
+    hits = ranges.overlap_join(blocks, exons, keys)
+    inside = (c("l_start") >= c("r_start")) & (c("l_end") <= c("r_end")) & (c("l_strand") == c("r_strand"))
+    hits = hits.groupBy(c("l_block_id").alias("block_id"), c("r_transcript_id").alias("transcript_id")).agg(F.max(inside).alias("inside"))
+    spans = exons.groupBy(*keys, "transcript_id").agg(F.min("start").alias("s"), F.max("end").alias("e"))
+    rows = blocks.join(spans, keys).join(hits, ["block_id", "transcript_id"], "left")
+    role = F.when(c("inside"), "exonic").when(c("inside").isNotNull(), "conflicting").when((c("start") >= c("s")) & (c("end") <= c("e")), "not_exonic").otherwise("uncovered")
+    n = lambda r: F.sum((c("role") == r).cast("long"))
+    got = rows.withColumn("role", role).groupBy("block_id").agg(F.count("*").alias("n_transcripts"), n("exonic").alias("n_exonic"), n("conflicting").alias("n_conflicting"), n("not_exonic").alias("n_not_exonic"))
+    call = F.when(c("n_exonic") > 0, "exonic").when(c("n_conflicting") > 0, "conflicting").when(c("n_not_exonic") == c("n_transcripts"), "not_exonic").otherwise("unknown")
+    return got.withColumn("repertoire_role", call)
+
+
+def species_panels(spark, d):
+    """Species of neighbouring families' panels: in both, only in the family, only in the next one."""
+    panel = _occ(spark, d).groupBy("family_id").agg(F.collect_set("species").alias("p"))
+    number = F.regexp_extract("family_id", r"(\d+)$", 1).cast("long")
+    a = panel.select("family_id", number.alias("k"), "p")
+    b = panel.select((number - 1).alias("k"), F.col("p").alias("q"))
+    rows = a.join(b, "k")
+    size = lambda x: F.size(x).alias
+    return rows.select("family_id", size(F.array_intersect("p", "q"))("n_both"), size(F.array_except("p", "q"))("n_only_family"), size(F.array_except("q", "p"))("n_only_next"), size(F.array_union("p", "q"))("n_union"))
+
+
+QUERIES = {f.__name__: f for f in (single_copy_families, homology_coverage, completion_calls, junction_observations, posterior_summary, event_labels, ascertainment_correction, foreground_branches, block_roles, species_panels)}
 
 _STATES = """
 WITH r AS (SELECT layer, object_id, node_id, state, max(probability) AS p, max(is_parsimony_best) AS parsimony FROM ancestral_state_probabilities WHERE layer IS NOT NULL AND object_id IS NOT NULL AND node_id IS NOT NULL AND state IN ('0', '1', '2', '3') AND probability IS NOT NULL AND NOT isnan(probability) GROUP BY ALL),
@@ -148,4 +182,13 @@ SELECT layer, CASE WHEN was = state THEN 'unchanged' WHEN was = '0' THEN 'gain'
     "foreground_branches": _CELLS
     + """, top AS (SELECT r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), c AS (SELECT *, avg(state) OVER (PARTITION BY p_partkey, region) >= 0.5 AS maj FROM cells WHERE state IS NOT NULL)
 SELECT CASE WHEN region = (SELECT r_name FROM top) THEN 'foreground' ELSE 'background' END AS scope, count(*) AS n_branches, count(*) FILTER (state <> maj::INT) AS n_changed FROM c GROUP BY 1""",
+    "block_roles": OCC
+    + """, b AS (SELECT * FROM occ WHERE role = 'intron'), t AS (SELECT gene_copy_id, contig, transcript_id, min(start) AS s, max("end") AS e FROM ex WHERE transcript_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT b.occurrence_id AS block_id, CASE WHEN bool_or(b.start >= x.start AND b."end" <= x."end" AND b.strand = x.strand) THEN 'exonic' WHEN count(x.start) > 0 THEN 'conflicting' WHEN b.start >= s AND b."end" <= e THEN 'not_exonic' ELSE 'uncovered' END AS role
+FROM b JOIN t USING (gene_copy_id, contig) LEFT JOIN ex x ON x.gene_copy_id = b.gene_copy_id AND x.contig = b.contig AND x.transcript_id = t.transcript_id AND b.start <= x."end" AND x.start <= b."end" GROUP BY b.occurrence_id, t.transcript_id, b.start, b."end", s, e),
+n AS (SELECT block_id, count(*) AS n_transcripts, count(*) FILTER (role = 'exonic') AS n_exonic, count(*) FILTER (role = 'conflicting') AS n_conflicting, count(*) FILTER (role = 'not_exonic') AS n_not_exonic FROM r GROUP BY 1)
+SELECT *, CASE WHEN n_exonic > 0 THEN 'exonic' WHEN n_conflicting > 0 THEN 'conflicting' WHEN n_not_exonic = n_transcripts THEN 'not_exonic' ELSE 'unknown' END AS repertoire_role FROM n""",
+    "species_panels": OCC
+    + r""", p AS (SELECT family_id, regexp_extract(family_id, '(\d+)$', 1)::BIGINT AS k, list(DISTINCT species) AS p FROM occ GROUP BY 1, 2)
+SELECT a.family_id, len(list_intersect(a.p, b.p)) AS n_both, len(a.p) - len(list_intersect(a.p, b.p)) AS n_only_family, len(b.p) - len(list_intersect(a.p, b.p)) AS n_only_next, len(a.p) + len(b.p) - len(list_intersect(a.p, b.p)) AS n_union FROM p a JOIN p b ON b.k = a.k + 1""",
 }
