@@ -30,7 +30,6 @@ from arborix.session import Scratch
 BLOCK = 400_000
 RANK, OVERSAMPLE, THRESHOLD, PARAPHRASE = 64, 10, 0.45, 16
 ROWS, PAIRS, TERMS = 2_048, 20_000, 64
-CELLS = 4_000_000
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,22 +75,26 @@ def _frequencies(ids: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _with_idf(matrix: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The matrix with idf in its rows, and zero rows for the ids -2 and -1."""
+    out = np.zeros((len(idf) + 2, matrix.shape[1]), np.float32)
+    out[: len(idf)] = matrix * idf[:, None]
+    return out
+
+
 def _gram(ids: DataFrame, idf: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, float]:
-    """The Gram matrix of all passages times the sketch, and the sum of all squared entries."""
-    shared = ids.sparkSession.sparkContext.broadcast((idf, sketch))
+    """The Gram matrix of all passages times the sketch, and the sum of the squared weights of all their words."""
+    shared = ids.sparkSession.sparkContext.broadcast((idf, _with_idf(sketch, idf)))
     size, width = sketch.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, sketch = shared.value
+        idf, weighted = shared.value
         total, energy = np.zeros((size, width), np.float64), 0.0
         for batch in batches:
             rows, _ = P.windows(*_lists(batch.column(0)), P.LENGTH, 1)
             rows = rows[(rows >= 0).any(1)]
-            step = max(1, CELLS // size)
-            for lo in range(0, len(rows), step):
-                m = P.counts(rows[lo : lo + step], idf)
-                total += m.T @ (m @ sketch)
-                energy += float(np.einsum("ij,ij->", m, m))
+            for lo in range(0, len(rows), ROWS):
+                energy += P.add_gram(rows[lo : lo + ROWS], weighted, idf, total)
         blocks = [total[lo : lo + TERMS].tobytes() for lo in range(0, size, TERMS)]
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(blocks)), -1], pa.int32()), pa.array([*blocks, np.array([energy]).tobytes()], pa.binary())], ["block", "data"])
 
@@ -111,11 +114,12 @@ def _basis(ids: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int, seed: in
     """Right singular vectors (vocabulary x rank) of the corpus passages and, at equal energy, the items' passages."""
     size = len(idf)
     width = min(size, rank + OVERSAMPLE)
-    mine = P.counts(own, idf).astype(np.float64)
 
     def apply(q: np.ndarray) -> np.ndarray:
-        z, energy = _gram(ids, idf.astype(np.float32), q.astype(np.float32))
-        return z / max(energy, 1e-9) + mine.T @ (mine @ q) / max(float((mine * mine).sum()), 1e-9)
+        z, energy = _gram(ids, idf, q)
+        mine = np.zeros_like(z)
+        weight = P.add_gram(own, _with_idf(q, idf), idf, mine)
+        return z / max(energy, 1e-9) + mine / max(weight, 1e-9)
 
     q, _ = np.linalg.qr(apply(np.random.default_rng(seed).standard_normal((size, width))))
     t = q.T @ apply(q)
@@ -204,8 +208,7 @@ def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, pa
     seen = _frequencies(ids, size)
     idf = np.log((seen[size] + 1) / (seen[:size] + 1)) + 1
     basis = _basis(ids, idf, own, rank, seed)
-    weighted = np.zeros((size + 2, basis.shape[1]), np.float32)
-    weighted[:size] = basis * idf[:, None]
+    weighted = _with_idf(basis, idf)
     telling = np.zeros(size + 2, bool)
     telling[:size] = [any(c.isdigit() for c in w) for w in names]
     own = np.where(own >= 0, own, P.PAD).astype(np.int32)

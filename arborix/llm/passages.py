@@ -34,12 +34,25 @@ def windows(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int
     return (np.where(inside, flat[index], PAD) if len(flat) else np.empty((0, LENGTH), np.int32)).astype(np.int32), owner
 
 
-def counts(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The dense TF-IDF rows of windows over the vocabulary."""
-    size = len(idf)
-    known = rows >= 0
-    cell = (np.arange(len(rows))[:, None] * size + rows)[known]
-    return (np.bincount(cell, minlength=len(rows) * size).reshape(len(rows), size) * idf).astype(np.float32)
+def add_gram(rows: np.ndarray, weighted: np.ndarray, idf: np.ndarray, total: np.ndarray) -> float:
+    """Adds the windows' share of (Gram matrix x sketch) to ``total``; returns the sum of their squared weights.
+
+    ``weighted`` is the sketch with idf in it and zeros in its last two rows (-2, -1). A window's product with it is a sum
+    of rows; that sum goes to each of the window's words, gathered by word.
+    """
+    of_window = np.zeros((len(rows), weighted.shape[1]), weighted.dtype)
+    for j in range(rows.shape[1]):
+        of_window += weighted[rows[:, j]]
+    flat = rows.ravel()
+    at = np.flatnonzero(flat >= 0)
+    at = at[np.argsort(flat[at], kind="stable")]
+    ids = flat[at]
+    if not len(ids):
+        return 0.0
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    terms = ids[starts]
+    total[terms] += idf[terms, None] * np.add.reduceat(of_window[at // rows.shape[1]], starts, axis=0)
+    return float((idf[ids] ** 2).sum())
 
 
 def project(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
