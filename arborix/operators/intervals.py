@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from arborix.session import Scratch
+
 FIRST, BEFORE, HERE = W.unboundedPreceding, -1, W.currentRow
 
 
@@ -42,6 +44,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end:
         .groupBy(*k, "_c", "_i")
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
     )
+    local = Scratch(df.sparkSession, "periods").write(local, "local")  # read four times below
     across = W.partitionBy(*k).orderBy("_c").rowsBetween(FIRST, BEFORE)
     carried = local.groupBy(*k, "_c").agg(F.max("_e").alias("_m")).select(*k, "_c", F.max("_m").over(across).alias("_carry"))
     opened = (
