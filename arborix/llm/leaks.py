@@ -140,7 +140,7 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
             found = []
             for lo in range(0, len(rows), ROWS):
                 part = rows[lo : lo + ROWS]
-                near, which = np.nonzero(P.project(part, basis) @ latent.T >= threshold)
+                near, which = np.divmod(np.flatnonzero(P.project(part, basis) @ latent.T >= threshold), len(own))
                 for at in range(0, len(near), PAIRS):
                     x, y = near[at : at + PAIRS], which[at : at + PAIRS]
                     both = P.sharing(part[x], own[y], min(P.RUN, paraphrase))
