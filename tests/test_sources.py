@@ -130,3 +130,19 @@ def test_paths_between_states():
             want = {k: (min(w.count(k) for w in ways), max(w.count(k) for w in ways)) for k in X.KINDS if any(k in w for w in ways)}
             assert X.event_bounds(space, d, s, t) == want
             assert [k for k, _ in X.witness(space, d, s, t)] in ways
+
+
+def test_run_records(tmp_path):
+    from arborix.sources.runs import Run, write_json
+
+    p = tmp_path / "run.json"
+    with Run(p, command="x") as run:
+        assert json.loads(p.read_text())["status"] == "running"
+        run.artifact("t", "/t", 3)
+    assert json.loads(p.read_text()) | {"started": 0, "ended": 0} == {"status": "completed", "command": "x", "artifacts": {"t": {"path": "/t", "rows": 3}}, "started": 0, "ended": 0}
+    with pytest.raises(KeyError):
+        with Run(p):
+            raise KeyError("lost")
+    assert json.loads(p.read_text())["status"] == "failed"
+    write_json(p, {"b": float("nan"), "a": [float("inf"), 1.5]})
+    assert p.read_text() == '{\n "a": [\n  null,\n  1.5\n ],\n "b": null\n}\n' and len(list(tmp_path.iterdir())) == 1
