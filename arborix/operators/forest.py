@@ -13,7 +13,7 @@ def nodes(df: DataFrame, scope: Column, node: Column, parent: Column) -> DataFra
     """scope, node, parent_key: one row a node.
 
     A null node is none; a null scope is the empty one. A null, empty, `NA` or `.` parent is none. Repeated rows count
-    once; of several parents of one node the smallest counts.
+    once; of several parents of one node the smallest counts. No rows give no nodes, and every result below is empty.
     """
     real = F.when(~parent.isin(*ENDS), parent)
     return df.where(node.isNotNull()).groupBy(F.coalesce(scope, F.lit("")).alias("scope"), node.alias("node")).agg(F.min(real).alias("parent_key"))
@@ -25,7 +25,7 @@ class Forest:
     Leaves are raked, and unary nodes whose salted hash is smaller than their child's and their parent's are spliced
     out of their chain, round after round: a chain shrinks to two thirds and a bush loses a layer each round, so the
     rounds grow with the logarithm of chains' length. A parent that is null makes a root. What never ends contracts to
-    a node that is its own parent: the core of a cycle, with the smallest key spliced into it. Each round's removed
+    a node that is its own parent (as a node that names itself does from the start): the core of a cycle, with the smallest key spliced into it. Each round's removed
     nodes are written with the parent they had then; reversed, each gets root, depth and path from that parent.
 
     Keys become integers in key order (scope first), so the smallest id on a cycle is its smallest key. Each round is

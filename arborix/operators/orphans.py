@@ -65,7 +65,8 @@ def orphans(parents: DataFrame, key: str, refs: list[Reference], loaded: str = "
     that join). Bitmaps number ranges x months, 4 KB each, empty ones are not stored.
 
     Result: table_name, record_key, field_name, ref, at, cause (`missing`, `later` or `withdrawn`); one row for each
-    referring row. Null and unknown references aren't references. A null time of the referring row or the parent
+    referring row, repeated ones too; a null record_key stays null. No parents: every reference is `missing`; no
+    references: no rows. Extra columns of any name change nothing. Null and unknown references aren't references. A null time of the referring row or the parent
     compares as neither later nor withdrawn.
     """
     spark = parents.sparkSession

@@ -70,7 +70,11 @@ def value_reasons(start: Column, end: Column, sense: Column) -> Column:
 
 
 def parse_columns(df: DataFrame, key: str) -> DataFrame:
-    """Rows already in columns: key, fields as read, start_pos, end_pos, strand_value and reasons (empty: valid)."""
+    """Rows already in columns: record_id, the fields as read, and reasons (empty: valid).
+
+    A null start, end or strand is a failing value; other nulls are not. Every row is one result row, repeated ones too;
+    values of any length take linear time; extra columns of any name are left out; no rows give no rows.
+    """
     get = lambda n: F.col(f"`{n}`")
     sure = F.concat_ws("\t", *[F.coalesce(get(n), F.lit("\t")) for n in ("start", "end", "strand")]).rlike(row_pattern(tuple(f for f in FEATURE_FIELDS if f.kind != "text")))
     in_order = position(get("end")) >= position(get("start"))
@@ -86,7 +90,8 @@ def parse_lines(df: DataFrame, key: str, line: str) -> DataFrame:
     """Raw lines: as parse_columns, with first_broken (1-based field, null where none or where the values are at fault).
 
     One carriage return at the end doesn't count. Null lines, lines of white space alone and lines that begin with
-    `#` are no records and are left out.
+    `#` are no records and are left out. Every other line is one result row, repeated ones too, with linear time in
+    its length; no lines give no rows; extra columns of any name are left out.
     """
     n = len(FEATURE_FIELDS)
     at = {f.name: i + 1 for i, f in enumerate(FEATURE_FIELDS)}
