@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 FAR = 1e9
 
 
-def complete(observed: DataFrame, characters: DataFrame, tips: DataFrame, key: str) -> DataFrame:
-    """A cell for every character and tip; what isn't observed is unknown, with the reason."""
-    cells = characters.select(key).distinct().crossJoin(F.broadcast(tips.select("tip")))
+def complete(observed: DataFrame, characters: DataFrame, tips: list[str], key: str) -> DataFrame:
+    """A cell for every character and declared tip; what isn't observed is unknown, with the reason.
+
+    The tips are those of the tree, an array of literals that each character explodes; observed cells meet them by an
+    equi-join.
+    """
+    cells = characters.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, tips))).alias("tip"))
     rows = cells.join(observed.select(key, "tip", "state"), [key, "tip"], "left")
     return rows.select(key, "tip", "state", F.when(F.col("state").isNull(), "no_observation").otherwise("called").alias("reason"))
 

@@ -107,8 +107,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     code = F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1
     n = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", code.alias("code")).join(sup, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey", "tip", "code").agg(F.count("*").alias("n"))
     seen = n.groupBy(F.col("l_partkey").alias("p_partkey"), "tip").agg(F.min_by("code", F.struct(-F.col("n"), F.col("code"))).alias("state"))
-    tips = spark.createDataFrame([(t,) for t in _tips(spark, d)], "tip string")
-    return sites.complete(seen, table(spark, d, "part"), tips, "p_partkey")
+    return sites.complete(seen, table(spark, d, "part"), _tips(spark, d), "p_partkey")
 
 
 def _tree(spark: SparkSession, d: str) -> list[tuple[str, str, float]]:

@@ -76,8 +76,7 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     """part x nation: returned (1), only not returned (0) or no line at all (unknown)."""
     sup = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("tip"))
     seen = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").join(sup, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey", "tip").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("state"))
-    tips = spark.createDataFrame([(t,) for t in _tips(spark, d)], "tip string")
-    return S.complete(seen.withColumnRenamed("l_partkey", "p_partkey"), table(spark, d, "part"), tips, "p_partkey")
+    return S.complete(seen.withColumnRenamed("l_partkey", "p_partkey"), table(spark, d, "part"), _tips(spark, d), "p_partkey")
 
 
 def tip_completion(spark, d):
