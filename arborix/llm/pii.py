@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import ahocorasick
 
+from arborix.llm.given_names import GIVEN
+
 TYPES = ("email", "id_number", "phone", "street_address", "person_name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -20,19 +22,16 @@ PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 AT = ("@", "[at]", "(at)", "{at}", " at ", "＠")
 ID_CUES = ("ssn", "social security", "passport", "identity card", "steuer-id", "dni", "nir", "national insurance", "id number", "tax id", "nif", "cpf")
 PHONE_CUES = ("phone", "mobile", "fax", "tel", "tél", "t ", "call ", "number", "電話", "电话", "handy", "unter ", "appeler", "llam", "ligue", "móvil")
-PHONE_PREFIXES = ("+", "(0", "(2", "(3", "(4", "(5", "(6", "(7", "(8", "(9", "0044", "0049", "0033", "020 ", "030/", "01.", "-555-", ".555.", " 555 ")
-ID_PREFIXES = ("000-", "000 ", "666-", "666 ", "qq ", "qq0", "qq1", "qq2", "qq3", "qq4", "qq5", "qq6", "qq7", "qq8", "qq9", "xz", "zz")
+PHONE_PREFIXES = ("+", "(0", "(2", "(3", "(4", "(5", "(6", "(7", "(8", "(9", "0044", "0049", "0033", "020 ", "030/", "01.")
 STREETS = (" road", " rd", " street", " st.", " lane", " drive", " close", " avenue", " terrace", " court", " crescent", " square", " sq", " place", " way", " gardens", " hill", " row")
 STREETS_FIRST = ("rue ", "avenue ", "boulevard ", "impasse ", "chemin ", "allée ", "quai ", "place ", "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "rua ", "travessa ", "largo ", "praça ", "alameda ")
 STREETS_JOINED = ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ufer", "damm", "ring", "hof", "am ", "an der ", "im ", "zum ", "zur ")
-GIVEN = tuple(
-    "zofia edwin bruna élodie elodie josé jose kamil nils anne-kathrin lucien amara ines ilka tobias saskia jürgen petra maren søren caetano noemi meiling ramiro joris fátima yuki odile greta anselm harriet idris".split()
-)
 NAME_CUES = (
     "signed, ", "contact: ", "thanks to ", "checked by ", "reviewed by ", "cc ", "dr ", "dr. ", "mr ", "ms ", "mrs ", "prof. ", "reviewer\t", '"curator": "', "vérifié par ", "merci à m. ", "merci à mme ", "merci à ",
     "cordialement, ", "geprüft von ", "an frau ", "an herrn ", "gruß, ", "revisado por ", "atentamente, ", "revisto por ", "obrigado, ", "obrigada, ", "审核人：", "请联系 ", "担当：", "確認者は ", "--\n", "curator\tcontact\tdocument\n",
+    "written by ", "approved by ", "signed by ", "prepared by ", "submitted by ", "regards, ", "sincerely, ", "dear ", "attn: ", "author: ", "curator: ", "reviewer: ", "patient: ", "herr ", "frau ", "mme ", "monsieur ", "madame ", "sra. ", "señor ", "señora ", "senhor ", "senhora ",
 )
-NAME_FOLLOWERS = (" asked for", " disagrees with", "; no reply yet", " です", "\topen")
+NAME_FOLLOWERS = (" asked", " disagrees", " agrees", " agreed", " replied", " wrote", " confirmed", " said", "; no reply yet", " です", "\topen")
 #: A name before one of these is that of a thing.
 THINGS = re.compile(r"[\s-]+(?i:index|test|method|score|statistic|model|criterion|prize|award|institute|lab|street|road|database|algorithm|correction|plot|transform|buffer|medium|cell|line|strain|university|library|foundation|archive|protocol|scale)\b")
 #: Numbers after one of these are those of things.
@@ -64,8 +63,11 @@ ID = re.compile(
     )(?![\w-])""",
     re.X,
 )
-#: The forms that show without a cue what they are.
-ID_ALONE = re.compile(r"(?:(?:000|666)-\d{2}-\d{4}|(?:000|666) \d{2} \d{4}|QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D]|XZ\d{7}|ZZ\d{3}[A-Z]\d{4})(?![\w-])")
+#: The forms that show without a cue what they are: any area number, with a group and a serial other than zeros, and any two letters.
+ID_ALONE = re.compile(r"(?:\d{3}([- ])(?!00)\d{2}\1(?!0000)\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{2}\d{7}|[A-Z]{2}\d{3}[A-Z]\d{4})(?![\w-])")
+#: A North American number without a cue: area and exchange begin with 2 to 9 and neither ends in 11.
+PHONE_ALONE = re.compile(r"(?<![\w.+@/-])[2-9](?!11)\d{2}([-. ])[2-9](?!11)\d{2}\1\d{4}(?![\w/-]|\.\d)")
+ID_START = re.compile(r"(?<![\w.+@/-])(?=\d{3}[- ]\d\d[- ]\d|[A-Z]{2} ?\d{2})")
 TO_NUMBER = re.compile(r"[^\d\n+(]{0,14}?(?=[+(\d])")
 TO_ID = re.compile(r"[^\n\d]{0,16}?(?=\b[A-Z0-9])")
 
@@ -91,12 +93,14 @@ STOP_LEFT = ("In", "Der", "Die", "Das", "Den", "Dem", "Adresse", "Anschrift", "L
 _PARTICLE = r"(?:van\sder|van\sden|van\sde|van|von\sder|von\sdem|von|de\sla|de\slos|de\slas|de\sl['’]|del|de|da|dos|das|di|ter|ten)"
 _FAMILY = rf"(?:{_PARTICLE}\s)?(?:[OD]['’]|Mc-?|Mac-?|MC-?)?{_UP}[^\W\d_]+(?:[-’'][^\W\d_]+)*"
 _INITIAL = rf"{_UP}\."
+_OPENER = "(?:" + "|".join(sorted(OPENERS)) + r")\b"
 _GIVENNAME = "(?:" + "|".join(sorted(map(re.escape, GIVEN), key=len, reverse=True)) + ")"
 _KNOWN = rf"(?i:{_GIVENNAME})(?![\w-])"
-_ANYGIVEN = rf"{_UP}[^\W\d_]+(?:-{_UP}[^\W\d_]+)?"
+_ANYGIVEN = rf"(?!{_OPENER}){_UP}[^\W\d_]+(?:-{_UP}[^\W\d_]+)?"
 NAME_KNOWN = re.compile(rf"{_KNOWN}(?:\s(?:{_KNOWN}|{_INITIAL})){{0,3}}\s{_FAMILY}(?![\w@])")
 NAME_AFTER = re.compile(rf"{_FAMILY},\s(?:{_KNOWN}|{_INITIAL})(?:\s(?:{_KNOWN}|{_INITIAL}))*|(?:{_INITIAL}\s){{1,3}}(?:{_KNOWN}\s)?{_FAMILY}(?![\w@])|{_KNOWN}(?:\s(?:{_KNOWN}|{_INITIAL})){{0,3}}\s{_FAMILY}(?![\w@])")
-NAME_SHAPE = re.compile(rf"{_ANYGIVEN}(?:\s(?:{_ANYGIVEN}|{_INITIAL})){{0,2}}\s{_FAMILY}(?=[;,.\"\t\n]|\s。|\sです|\slast\s|\sfor\sthe|\Z)")
+_SHAPE = rf"{_ANYGIVEN}(?:\s(?:{_ANYGIVEN}|{_INITIAL})){{0,2}}\s(?!{_OPENER}){_FAMILY}"
+NAME_SHAPE = re.compile(rf"{_SHAPE}(?=[;,.:)\]\"\t\n]|\s(?!{_UP})|\s{_OPENER}|\Z)")
 TITLE = re.compile(r"(?:Dr|Prof|Mr|Ms|Mrs|Frau|Herrn?|M|Mme|DR)\.?\s")
 NAME_BACK = re.compile(rf"(?:{_FAMILY},\s)?(?:(?:{_KNOWN}|{_INITIAL})\s){{0,4}}\Z")
 BEFORE_FOLLOWER = re.compile(rf"(?:{_FAMILY},\s(?:{_KNOWN}|{_INITIAL})(?:\s(?:{_KNOWN}|{_INITIAL}))*|(?:(?:{_KNOWN}|{_INITIAL})\s){{1,4}}{_FAMILY})\Z")
@@ -107,7 +111,7 @@ def automaton():
     a = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
     for kind, words in (
-        ("at", AT), ("id_cue", ID_CUES), ("phone_cue", PHONE_CUES), ("phone", PHONE_PREFIXES), ("id", ID_PREFIXES), ("street", STREETS),
+        ("at", AT), ("id_cue", ID_CUES), ("phone_cue", PHONE_CUES), ("phone", PHONE_PREFIXES), ("street", STREETS),
         ("street_first", STREETS_FIRST), ("street_joined", STREETS_JOINED), ("given", GIVEN), ("name_cue", NAME_CUES), ("follower", NAME_FOLLOWERS),
     ):
         for w in words:
@@ -176,8 +180,12 @@ class Scan:
             if m.group().isdigit():
                 return
 
-    def id(self, a: int, b: int) -> None:
-        self.number(a, ID_ALONE, "id_number")
+    def alone(self) -> None:
+        """Numbers whose shape alone tells what they are."""
+        for m in ID_START.finditer(self.text):
+            self.number(m.start(), ID_ALONE, "id_number")
+        for m in PHONE_ALONE.finditer(self.text):
+            self.number(m.start(), PHONE, "phone")
 
     def street(self, a: int, b: int) -> None:
         t = self.text
@@ -253,9 +261,10 @@ class Scan:
         t = self.text
         if a and t[a].isalnum() and t[a] < "⿿" and t[a - 1].isalnum() and t[a - 1] < "⿿":
             return
+        said = b
         if m := TITLE.match(t, b):
             b = m.end()
-        self.name(b, NAME_AFTER.match(t, b) or NAME_SHAPE.match(t, b))
+        self.name(b, NAME_AFTER.match(t, b) or NAME_AFTER.match(t, said) or NAME_SHAPE.match(t, b))
 
     def follower(self, a: int, b: int) -> None:
         t = self.text
@@ -294,6 +303,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for end, (n, kinds) in automaton().iter(lowered(text)):
         for kind in kinds:
             getattr(scan, kind)(end + 1 - n, end + 1)
+    scan.alone()
     scan.chain()
     return scan.settle()
 

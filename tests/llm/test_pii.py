@@ -78,3 +78,27 @@ def test_rows(spark):
     red = {r.doc_id: (r.redacted, r.n_found) for r in personal.redact(df, "doc_id", "text").collect()}
     assert red[500] == (None, 0) and red[501] == ("Contact: [PERSON_NAME] and [PERSON_NAME]", 2) and red[next(i for i, (t, _) in enumerate(CASES) if t == "")] == ("", 0)
     assert personal.find(df.limit(0), "doc_id", "text").count() == 0
+
+
+#: Names that no test table holds; of their given names the lexicon has some.
+HELD_OUT = (
+    "Petronella Achterberg|Ignatius Obi|Priyanka Desai|Valentin Moreau|Rosalind Hart|Tomoko Endo|Sebastiano Greco|Yevgenia Orlova|Dagmar Vogel|Hyacinth Bell|Mercy Okafor|Kiran Patel|Aurelio Vega|Bertrand Dubois|Solange Petit|"
+    "Liesbeth Bakker|Anneli Virtanen|Cormac Doyle|Rhiannon Price|Ludovic Fabre|Tendai Moyo|Zainab Bello|Ravi Menon|Mei Tanaka|Olga Petrova|Henrik Dahl|Sigrid Berg|Carlos Mendes|Laura Conti|Thomas Weber"
+).split("|")
+
+
+def test_held_out_names():
+    for before, after in (("The sheet was checked by ", " last week."), ("Dr ", " found the gap."), ("Regards, ", "\n"), ("Thanks to ", " The table is here.")):
+        for name in HELD_OUT:
+            text = before + name + after
+            assert [(k, text[a:b]) for a, b, k in pii.find(text)] == [("person_name", name)], text
+    alone = [n for n in HELD_OUT if any(k == "person_name" and t[a:b] == n for t in [f"We met {n} there."] for a, b, k in pii.find(t))]
+    assert len(alone) == 8
+
+
+def test_numbers_of_any_area_and_letters():
+    for text, want in [
+        ("see 123-45-6789 here", [("id_number", "123-45-6789")]), ("see 078 05 1120 here", [("id_number", "078 05 1120")]), ("see AB 12 34 56 C here", [("id_number", "AB 12 34 56 C")]), ("see CH1234567 here", [("id_number", "CH1234567")]),
+        ("see 123-00-6789, 123-45-0000 and accession AB1234567", []), ("see 312-867-5309 here", [("phone", "312-867-5309")]), ("see 415.867.5309 here", [("phone", "415.867.5309")]), ("see 911-867-5309 and 312-911-5309 and v1.312-867-5309", []),
+    ]:
+        assert [(k, text[a:b]) for a, b, k in pii.find(text)] == want, text
