@@ -5,12 +5,13 @@
 3. A randomised SVD: two passes over all passages apply the Gram matrix to a random sketch, summed by blocks of terms in
    the cluster; the driver sees only matrices of vocabulary x rank. The items' own passages have equal weight.
 4. One pass over all texts: windows of 20 words every 8 go into the latent space and meet every item window by cosine.
-5. Candidates pass a longest-common-subsequence check, then the check of consecutive words (verbatim), or of the
+5. Word pairs that a text shares with an item give the candidates that no cosine bounds: every run of 13 words.
+6. Candidates pass a longest-common-subsequence check, then the check of consecutive words (verbatim), or of the
    telling words (paraphrase).
 
-A run of 13 words lies whole in a window of either side, so the later checks are exact for each candidate; the cosine
-threshold is far below that of any true pair (see the tests for the measured margin). Texts are never cut, and no number
-of candidates is capped: they're checked where they arise and never shuffled.
+No cosine is low enough for all runs of 13, since rarer words beside a run of common ones outweigh it. So step 5 proposes
+every run, and the threshold loses none. Texts are never cut, and no number of candidates is capped: they're checked
+where they arise and never shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from arborix.session import Scratch
 BLOCK = 400_000
 RANK, OVERSAMPLE, THRESHOLD, PARAPHRASE = 64, 10, 0.45, 16
 ROWS, PAIRS, TERMS = 2_048, 20_000, 64
+#: Words of a piece of a text, and of the pieces that meet the items at once.
+PIECE, PIECES = 20_000, 40_000
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,30 +130,48 @@ def _basis(ids: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int, seed: in
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray, telling: np.ndarray, threshold: float, paraphrase: int) -> DataFrame:
-    shared = ids.sparkSession.sparkContext.broadcast((basis, own, item, telling, P.project(own, basis)))
+def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray, telling: np.ndarray, index: P.Index, threshold: float, paraphrase: int) -> DataFrame:
+    shared = ids.sparkSession.sparkContext.broadcast((basis, own, item, telling, index, P.project(own, basis)))
     key = ids.schema["key"].dataType.simpleString()
 
+    def check(a: np.ndarray, b: np.ndarray, text: np.ndarray, of: np.ndarray, telling: np.ndarray) -> np.ndarray:
+        both = P.sharing(a, b, min(P.RUN, paraphrase))
+        a, b, text, of = a[both], b[both], text[both], of[both]
+        subsequence, run = P.longest(a, b)
+        para = subsequence >= paraphrase
+        para[para] = P.answered(a[para], b[para], telling)
+        good = (run >= P.RUN) | para
+        return np.stack([text[good], of[good], run[good], subsequence[good]])
+
+    def latent_pairs(lists: tuple[np.ndarray, ...], basis, own, item, telling, latent) -> Iterator[np.ndarray]:
+        rows, owner = P.windows(*lists, P.STEP, P.RUN)
+        keep = (rows >= 0).sum(1) >= P.RUN
+        rows, owner = rows[keep], owner[keep]
+        for lo in range(0, len(rows), ROWS):
+            part = rows[lo : lo + ROWS]
+            near, which = np.divmod(np.flatnonzero(P.project(part, basis) @ latent.T >= threshold), len(own))
+            for at in range(0, len(near), PAIRS):
+                x, y = near[at : at + PAIRS], which[at : at + PAIRS]
+                yield check(part[x], own[y], owner[lo + x], item[y], telling)
+
+    def exact_pairs(lists: tuple[np.ndarray, ...], index: P.Index, telling: np.ndarray) -> Iterator[np.ndarray]:
+        flat, starts, lengths = lists
+        starts, lengths, owner = P.pieces(starts, lengths, PIECE)
+        group = np.cumsum(lengths) // PIECES
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            first, long = starts[mine], lengths[mine]
+            hits = index.hits(flat, first, long)
+            for text, of, i, j in (index.verbatim(hits),):
+                for lo in range(0, len(text), PAIRS):
+                    t, o, x, y = (v[lo : lo + PAIRS] for v in (text, of, i, j))
+                    yield check(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y), owner[mine[t]], o, telling)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, own, item, telling, latent = shared.value
+        basis, own, item, telling, index, latent = shared.value
         for batch in batches:
-            rows, owner = P.windows(*_lists(batch.column(1)), P.STEP, P.RUN)
-            keep = (rows >= 0).sum(1) >= P.RUN
-            rows, owner = rows[keep], owner[keep]
-            found = []
-            for lo in range(0, len(rows), ROWS):
-                part = rows[lo : lo + ROWS]
-                near, which = np.divmod(np.flatnonzero(P.project(part, basis) @ latent.T >= threshold), len(own))
-                for at in range(0, len(near), PAIRS):
-                    x, y = near[at : at + PAIRS], which[at : at + PAIRS]
-                    both = P.sharing(part[x], own[y], min(P.RUN, paraphrase))
-                    x, y = x[both], y[both]
-                    a, b = part[x], own[y]
-                    subsequence, run = P.longest(a, b)
-                    para = subsequence >= paraphrase
-                    para[para] = P.answered(a[para], b[para], telling)
-                    good = (run >= P.RUN) | para
-                    found.append(np.stack([owner[lo + x[good]], item[y[good]], run[good], subsequence[good]]))
+            lists = _lists(batch.column(1))
+            found = [*latent_pairs(lists, basis, own, item, telling, latent), *exact_pairs(lists, index, telling)]
             if found and (pairs := np.concatenate(found, 1)).shape[1]:
                 best = pd.DataFrame({"o": pairs[0], "i": pairs[1], "r": pairs[2], "s": pairs[3]}).groupby(["o", "i"], as_index=False).max()
                 yield pa.RecordBatch.from_arrays(
@@ -212,7 +233,7 @@ def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, pa
     telling = np.zeros(size + 2, bool)
     telling[:size] = [any(c.isdigit() for c in w) for w in names]
     own = np.where(own >= 0, own, P.PAD).astype(np.int32)
-    found = _search(ids, weighted, own, item.astype(np.int32), telling, threshold, paraphrase)
+    found = _search(ids, weighted, own, item.astype(np.int32), telling, P.Index(flat, lengths, size, paraphrase), threshold, paraphrase)
     keys = rows.sparkSession.createDataFrame([(i, k) for i, (k, _) in enumerate(part)], f"item int, k {item_type.simpleString()}")
     kind = F.when(F.col("longest_run") >= P.RUN, "verbatim").otherwise("paraphrase").alias("kind")
     return found.join(F.broadcast(keys), "item").select(F.col("key").alias(key), F.col("k").alias(item_key), kind, "longest_run", "longest_subsequence").distinct()

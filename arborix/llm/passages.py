@@ -99,3 +99,81 @@ def answered(a: np.ndarray, b: np.ndarray, telling: np.ndarray) -> np.ndarray:
     """Whether every telling word (numbers and names with digits) of window b also stands in window a."""
     same = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(1)
     return (same | ~telling[b]).all(1)
+
+
+class Index:
+    """The word pairs (single words for few words in common) of the items of a block, by which every passage is met.
+
+    If ``least`` of LENGTH words stand in the same order in two windows, at most 2 * (LENGTH - least) of the least - 1
+    steps from one common word to the next skip a word, so the other steps are word pairs that both windows hold, on
+    diagonals that differ by at most LENGTH - least from that of the windows. A run of RUN words is RUN - 1 pairs in a
+    row on one diagonal.
+    """
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, size: int, least: int):
+        self.flat, self.lengths, self.starts, self.size, self.least = flat, lengths, np.cumsum(lengths) - lengths, size, least
+        self.gram = 2 if 3 * least - 2 * LENGTH - 1 >= 1 else 1
+        self.needed = 3 * least - 2 * LENGTH - 1 if self.gram == 2 else least
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(flat)) - self.starts[owner]
+        code, inside = self.codes(flat, place, lengths[owner])
+        code, owner, place = code[inside], owner[inside], place[inside]
+        order = np.argsort(code, kind="stable")
+        self.item, self.place = owner[order], place[order]
+        self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+
+    def codes(self, flat: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        here = flat.astype(np.int64)
+        if self.gram == 1:
+            return here, here >= 0
+        after = np.append(here[1:], -1)
+        return here * self.size + after, (here >= 0) & (after >= 0) & (place + 1 < length)
+
+    def hits(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, place in the text and place in the item of each gram in common, of the pairs with enough of them."""
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        code, inside = self.codes(flat[starts[owner] + place], place, lengths[owner])
+        at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
+        hit = np.flatnonzero(inside & (self.code[at] == code)) if len(self.code) else np.empty(0, np.int64)
+        n = self.count[at[hit]]
+        which = np.repeat(self.first[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        hit = np.repeat(hit, n)
+        text, item = owner[hit], self.item[which]
+        pair = text * len(self.lengths) + item
+        enough = np.bincount(pair, minlength=1)[pair] >= min(self.needed, RUN - self.gram + 1)
+        hit, which = hit[enough], which[enough]
+        return owner[hit], self.item[which], place[hit], self.place[which]
+
+    def verbatim(self, hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and both places of the first word of each common run of RUN words or more."""
+        text, item, p, q = hits
+        order = np.lexsort((p, q - p, item, text))
+        text, item, p, q = (x[order] for x in (text, item, p, q))
+        far = RUN - self.gram
+        if len(p) <= far:
+            return text[:0], item[:0], p[:0], q[:0]
+        next_to = lambda k: (text[k:] == text[:-k]) & (item[k:] == item[:-k]) & (p[k:] - p[:-k] == k) & (q[k:] - q[:-k] == k)
+        first = next_to(far)
+        first[1:] &= ~next_to(1)[: len(first) - 1]
+        at = np.flatnonzero(first)
+        return text[at], item[at], p[at], q[at]
+
+    def item_windows(self, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return window_at(self.flat, self.starts[item], self.lengths[item], at)
+
+
+def window_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows that begin at the word ``at`` of their text."""
+    place = at[:, None] + np.arange(LENGTH)
+    inside = place < lengths[:, None]
+    return np.where(inside, flat[np.where(inside, starts[:, None] + place, 0)], PAD).astype(np.int32)
+
+
+def pieces(starts: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of pieces of at most ``most`` words, and the text of each; any 2 * LENGTH words lie in one."""
+    step = most - 2 * LENGTH
+    n = np.maximum(1, -(-(lengths - 2 * LENGTH) // step))
+    owner = np.repeat(np.arange(len(lengths)), n)
+    lo = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * step
+    return starts[owner] + lo, np.minimum(lengths[owner] - lo, most), owner

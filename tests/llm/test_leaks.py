@@ -74,3 +74,27 @@ def test_every_run_lies_in_a_window():
         assert set(owner) == {0}
         for s in range(n - 12):
             assert any(set(range(s, s + 13)) <= set(row) for row in w.tolist())
+
+
+def test_runs_of_common_words_between_rare_ones(spark):
+    rng = random.Random(1)
+    common = [f"c{i}" for i in range(40)]
+    items = [(i, " ".join([*(f"r{i}x{k}" for k in range(7)), *rng.sample(common, 13), *(f"r{i}y{k}" for k in range(7))])) for i in range(60)]
+    docs = [(d, " ".join(rng.choices(common, k=60))) for d in range(300)]
+    for i, t in items:
+        rare = P.words(items[(i + 1) % len(items)][1])
+        docs.append((1000 + i, " ".join([*rare[:7], *P.words(t)[7:20], *rare[20:]])))
+    t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(t, "doc_id", "text", i, "item_id", "item_text").collect() if r.kind == "verbatim"}
+    assert got == brute(docs, items) and len(got) >= 60
+    # the word pairs alone find every run, whatever the cosine
+    got = {(r.doc_id, r.item_id) for r in leaks(t, "doc_id", "text", i, "item_id", "item_text", threshold=2.0).collect() if r.kind == "verbatim"}
+    assert got == brute(docs, items)
+
+
+def test_pieces_hold_every_passage():
+    for n in (1, 40, 99, 100, 101, 160, 161, 500):
+        starts, lengths, owner = P.pieces(np.array([0, 7]), np.array([n, 0]), 100)
+        assert owner.tolist()[-1] == 1 and lengths.max() <= 100 and lengths.min() >= 0
+        for s in range(max(1, n - 39)):
+            assert any(a <= s and min(s + 40, n) <= a + k for a, k, o in zip(starts, lengths, owner) if o == 0)
