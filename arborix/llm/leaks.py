@@ -5,11 +5,11 @@
 3. A randomised SVD: two passes over all passages apply the Gram matrix to a random sketch, summed by blocks of terms in
    the cluster; the driver sees only matrices of vocabulary x rank. The items' own passages have equal weight.
 4. One pass over all texts: windows of 20 words every 8 go into the latent space and meet every item window by cosine.
-5. Word pairs that a text shares with an item give the candidates that no cosine bounds: every run of 13 words.
+5. Word pairs that a text shares with an item give the candidates that no cosine bounds: every run of 13 words, and windows of 20 words at every place of both that can share 16.
 6. Candidates pass a longest-common-subsequence check, then the check of consecutive words (verbatim), or of the
    telling words (paraphrase).
 
-No cosine is low enough for all runs of 13, since rarer words beside a run of common ones outweigh it. So step 5 proposes
+So a passage is found wherever it begins, and not only where windows of both sides meet. No cosine is low enough for all runs of 13, since rarer words beside a run of common ones outweigh it. So step 5 proposes
 every run, and the threshold loses none. Texts are never cut, and no number of candidates is capped: they're checked
 where they arise and never shuffled.
 """
@@ -162,7 +162,7 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
             mine = np.flatnonzero(group == g)
             first, long = starts[mine], lengths[mine]
             hits = index.hits(flat, first, long)
-            for text, of, i, j in (index.verbatim(hits),):
+            for text, of, i, j in (index.verbatim(hits), index.near(hits, long)):
                 for lo in range(0, len(text), PAIRS):
                     t, o, x, y = (v[lo : lo + PAIRS] for v in (text, of, i, j))
                     yield check(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y), owner[mine[t]], o, telling)
@@ -189,7 +189,8 @@ def leaks(
 
     kind is `verbatim` with 13 or more consecutive words in common, otherwise `paraphrase`: of 20 words 16 (the
     parameter) in the same order, and every word with a digit of the item's window. longest_run and
-    longest_subsequence are those inside windows of 20 words.
+    longest_subsequence are those inside windows of 20 words, at any place of both; of a verbatim pair with fewer than 16
+    words in the same order longest_subsequence is that of the windows that were met, at least 13.
 
     Null and empty texts and items, and those with fewer than 13 words, are in no pair. Repeated rows give one row.
     The items are a stated query set, taken in blocks; a block is broadcast, the texts are never.

@@ -135,7 +135,7 @@ class Index:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         code, inside = self.codes(flat[starts[owner] + place], place, lengths[owner])
         at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
-        hit = np.flatnonzero(inside & (self.code[at] == code)) if len(self.code) else np.empty(0, np.int64)
+        hit = np.flatnonzero(crowded(inside & (self.code[at] == code), LENGTH - self.gram + 1, min(self.needed, RUN - self.gram + 1))) if len(self.code) else np.empty(0, np.int64)
         n = self.count[at[hit]]
         which = np.repeat(self.first[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
         hit = np.repeat(hit, n)
@@ -159,10 +159,54 @@ class Index:
         at = np.flatnonzero(first)
         return text[at], item[at], p[at], q[at]
 
+    def near(self, hits: tuple[np.ndarray, ...], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and the places in both of all windows that can have ``least`` words in the same order."""
+        text, item, p, q = hits
+        need, reach, span = self.needed, LENGTH - self.least, LENGTH - self.gram
+        group = text * len(self.lengths) + item
+        order = np.lexsort((p, group))
+        dense = np.zeros(len(p) + 1, np.int64)
+        at = dense_runs(group[order], p[order], need, span)
+        np.add.at(dense, at, 1)
+        np.add.at(dense, at + need, -1)
+        keep = order[np.cumsum(dense[:-1]) > 0]
+        shift = np.repeat(q[keep] - p[keep], 2 * reach + 1) + np.tile(np.arange(-reach, reach + 1), len(keep))
+        keep = np.repeat(keep, 2 * reach + 1)
+        order = np.lexsort((p[keep], shift, group[keep]))
+        keep, shift = keep[order], shift[order]
+        new = np.ones(len(keep), bool)
+        new[1:] = (group[keep][1:] != group[keep][:-1]) | (shift[1:] != shift[:-1])
+        line = np.cumsum(new)
+        at = dense_runs(line, p[keep], need, span)
+        lo, hi, which = p[keep[at + need - 1]] - span, p[keep[at]], keep[at]
+        same = np.zeros(len(at), bool)
+        same[1:] = line[at[1:]] == line[at[:-1]]
+        lo[1:] = np.where(same[1:], np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+        n = np.maximum(hi - lo + 1, 0)
+        i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        j = i + np.repeat(shift[at], n)
+        text, item = text[np.repeat(which, n)], item[np.repeat(which, n)]
+        real = (i >= 0) & (i <= np.maximum(length[text] - LENGTH, 0)) & (j >= 0) & (j <= self.lengths[item] - self.least)
+        return text[real], item[real], i[real], j[real]
+
     def item_windows(self, item: np.ndarray, at: np.ndarray) -> np.ndarray:
         return window_at(self.flat, self.starts[item], self.lengths[item], at)
 
 
+def crowded(hit: np.ndarray, width: int, needed: int) -> np.ndarray:
+    """The hits that lie with others, ``needed`` in all, inside ``width`` places."""
+    n, at = len(hit), np.arange(len(hit))
+    total = np.append(0, np.cumsum(hit))
+    begins = np.append(0, np.cumsum(total[np.minimum(at + width, n)] - total[:-1] >= needed))
+    return hit & (begins[at + 1] > begins[np.maximum(at - width + 1, 0)])
+
+
+def dense_runs(group: np.ndarray, place: np.ndarray, needed: int, span: int) -> np.ndarray:
+    """Where ``needed`` rows of one group (sorted by place) begin that lie at most ``span`` apart."""
+    n = len(group) - needed + 1
+    return np.flatnonzero((group[:n] == group[needed - 1 :]) & (place[needed - 1 :] - place[:n] <= span)) if n > 0 else np.empty(0, np.int64)
+
+
 def window_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The windows that begin at the word ``at`` of their text."""
     place = at[:, None] + np.arange(LENGTH)

@@ -98,3 +98,56 @@ def test_pieces_hold_every_passage():
         assert owner.tolist()[-1] == 1 and lengths.max() <= 100 and lengths.min() >= 0
         for s in range(max(1, n - 39)):
             assert any(a <= s and min(s + 40, n) <= a + k for a, k, o in zip(starts, lengths, owner) if o == 0)
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def paraphrased(docs, items, least=16):
+    """The longest subsequence of all windows of 20 words at every place where the telling words are answered."""
+    out = {}
+    for d, t in docs:
+        for k, u in items:
+            x, y = P.words(t), P.words(u)
+            for i in range(max(1, len(x) - 19)):
+                for j in range(max(0, len(y) - least + 1)):
+                    a, b = x[i : i + 20], y[j : j + 20]
+                    if sum(w in b for w in a) >= least and (n := subsequence(a, b)) >= least and all(w in a for w in b if any(c.isdigit() for c in w)):
+                        out[d, k] = max(out.get((d, k), 0), n)
+    return out
+
+
+def test_paraphrases_at_every_offset(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    items = [(0, " ".join(rng.sample(words, 90)))] + [(k, " ".join([*rng.sample(words, n - 1), "n17"])) for k, n in enumerate((13, 16, 18, 20, 23, 40), 1)]
+    docs, long = [], P.words(items[0][1])
+    for every in (6, 8, 10, 12):
+        for offset in range(8):
+            passage = [f"z{'abcdefghij'[n % 10]}q" if n % every == 0 else w for n, w in enumerate(long[4:76], 1)]
+            docs.append((len(docs), " ".join([*rng.choices(words, k=24 + offset), *passage, *rng.choices(words, k=9)])))
+    for _ in range(120):
+        w = P.words(rng.choice(items)[1])
+        n = rng.randrange(min(16, len(w)), min(len(w), 30) + 1)
+        at = rng.randrange(len(w) - n + 1)
+        part = w[at : at + n]
+        for _ in range(rng.randrange(0, 6)):
+            spot = rng.randrange(len(part) + 1)
+            part[spot : spot + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+        docs.append((len(docs), " ".join([*rng.choices(words, k=rng.randrange(12)), *part, *rng.choices(words, k=rng.randrange(12))])))
+    t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    rows = leaks(t, "doc_id", "text", i, "item_id", "item_text").collect()
+    want, verbatim = paraphrased(docs, items), brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in rows} == set(want) | verbatim and len(set(want) - verbatim) > 40
+    assert all((d, 0) in want for d in range(32))
+    assert {(r.doc_id, r.item_id): r.longest_subsequence for r in rows if r.kind == "paraphrase"} == {k: n for k, n in want.items() if k not in verbatim}
+    for least in (15, 13):
+        rows = leaks(t, "doc_id", "text", i, "item_id", "item_text", threshold=2.0, paraphrase=least).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == set(paraphrased(docs, items, least)) | verbatim
