@@ -13,7 +13,8 @@ from arborix.functions import scores, status
 from arborix.kernels import alignment, chains, configurations as X, markov
 from arborix.operators import copies
 from arborix.operators.asof import asof_join
-from arborix.operators.grouped import by_group
+from arborix.operators.clusters import greedy_cluster_sizes
+from arborix.operators.grouped import LARGEST, by_group
 from arborix.plans.matches import _M, _T, _matches
 from arborix.plans.sequences import _seq
 from arborix.plans.structure import COPY, OCC, _exonic, _occ
@@ -58,14 +59,18 @@ def colinear_chains(spark, d):
     return by_group(rows, ["left_copy", "right_copy"], kernel, "n_candidates long, best_score double, n_in_chain long, n_retained long, n_obligatory long", largest=2_000)
 
 
-def greedy_clusters(spark, d):
-    """Clusters of each family's segments in which all members are of different copies and directly linked."""
+def greedy_clusters(spark, d, largest: int = LARGEST):
+    """Clusters of each family's segments in which all members are of different copies and directly linked.
+
+    Families of more than ``largest`` rows go through rounds over the cluster, with the same result.
+    """
     o = copies.latest(table(spark, d, "segment_occurrences"), "occurrence_id").select("occurrence_id", "family_id", "gene_copy_id")
     side = lambda p: o.select(*[F.col(c).alias(p + c) for c in o.columns])
     m = _matches(spark, d).where("match_status = 'mapped' and total_score is not null")
     rows = m.join(side("q_"), F.col("query_occurrence_id") == F.col("q_occurrence_id")).join(side("t_"), F.col("subject_occurrence_id") == F.col("t_occurrence_id"))
     far = F.when(F.col("distance_class") == "short", 0).when(F.col("distance_class") == "medium", 1).otherwise(2)
     rows = rows.select(F.col("q_family_id").alias("family_id"), far.alias("far"), "total_score", "query_occurrence_id", "subject_occurrence_id", "q_gene_copy_id", "t_gene_copy_id")
+    rows = Scratch(spark, "linked").write(rows, "rows")  # read for the sizes and again for the groups
 
     def kernel(pdf: pd.DataFrame) -> dict:
         owner = dict(zip(pdf["query_occurrence_id"], pdf["q_gene_copy_id"])) | dict(zip(pdf["subject_occurrence_id"], pdf["t_gene_copy_id"]))
@@ -73,7 +78,13 @@ def greedy_clusters(spark, d):
         sizes = pd.Series(list(got.values())).value_counts()
         return {"n_segments": len(got), "n_clusters": len(sizes), "largest": int(sizes.iloc[0])}
 
-    return by_group(rows, ["family_id"], kernel, "n_segments long, n_clusters long, largest long")
+    large = rows.dropna(subset=["family_id"]).groupBy("family_id").agg(F.count("*").alias("_size")).where(F.col("_size") > largest).select("family_id")
+    if not large.take(1):
+        return by_group(rows, ["family_id"], kernel, "n_segments long, n_clusters long, largest long", largest)
+    done = by_group(rows.join(large, "family_id", "left_anti"), ["family_id"], kernel, "n_segments long, n_clusters long, largest long", largest)
+    names = {"query_occurrence_id": "left", "subject_occurrence_id": "right", "q_gene_copy_id": "left_owner", "t_gene_copy_id": "right_owner"}
+    sizes = greedy_cluster_sizes(rows.join(large, "family_id", "left_semi").withColumnsRenamed(names), "family_id")
+    return done.unionByName(sizes.withColumn("status", F.lit("complete")))
 
 
 @functools.lru_cache(maxsize=4096)
