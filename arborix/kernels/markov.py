@@ -117,49 +117,72 @@ def sankoff(edges, tips: dict[str, np.ndarray], cost: np.ndarray) -> tuple[np.nd
     return best, {n: inside[n] + outside[n] <= best + 1e-9 for n in inside}
 
 
-def maximise(f, low: float, high: float, brackets: int = 12, steps: int = 60) -> dict:
+def maximise_asking(low: float, high: float, brackets: int = 12, steps: int = 60):
     """Largest value of a function of one positive parameter: a logarithmic grid, then golden section in the best bracket.
 
-    status: optimum, boundary_low or boundary_high.
+    status: optimum, boundary_low or boundary_high. A generator: it yields lists of places and is sent the values there,
+    so that many fits can go on together.
     """
     grid = np.geomspace(low, high, brackets + 1)
-    values = [f(x) for x in grid]
+    values = yield list(grid)
     i = int(np.argmax(values))
     a, b = math.log(grid[max(0, i - 1)]), math.log(grid[min(brackets, i + 1)])
     g = (math.sqrt(5) - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = f(math.exp(c)), f(math.exp(d))
+    fc, fd = yield [math.exp(c), math.exp(d)]
     for _ in range(steps):
         if fc >= fd:
             b, d, fd = d, c, fc
             c = b - g * (b - a)
-            fc = f(math.exp(c))
+            (fc,) = yield [math.exp(c)]
         else:
             a, c, fc = c, d, fd
             d = a + g * (b - a)
-            fd = f(math.exp(d))
+            (fd,) = yield [math.exp(d)]
     x = math.exp((a + b) / 2)
-    best = f(x)
+    (best,) = yield [x]
     if values[i] >= best:
         x, best = float(grid[i]), values[i]
     status = "boundary_low" if x <= low * 1.001 else "boundary_high" if x >= high / 1.001 else "optimum"
     return {"x": x, "value": best, "status": status}
 
 
-def profile_interval(f, x: float, value: float, low: float, high: float) -> tuple[float | None, float | None]:
-    """Where the value falls by half the 95 % quantile on either side, by bisection; null where it never does."""
+def maximise(f, low: float, high: float, brackets: int = 12, steps: int = 60) -> dict:
+    """``maximise_asking`` of a function."""
+    return answered_by(f, maximise_asking(low, high, brackets, steps))
+
+
+def profile_interval_asking(x: float, value: float, low: float, high: float):
+    """Where the value falls by half the 95 % quantile on either side, by bisection; null where it never does.
+
+    A generator as ``maximise_asking``; both sides go on together.
+    """
     want = value - CHI2_95 / 2
+    sides = [[math.log(x), math.log(far)] if v <= want else None for far, v in zip((low, high), (yield [low, high]))]
+    for _ in range(60):
+        open_ = [s for s in sides if s]
+        if not open_:
+            break
+        middles = [(a + b) / 2 for a, b in open_]
+        for s, m, v in zip(open_, middles, (yield [math.exp(m) for m in middles])):
+            s[0 if v > want else 1] = m
+    low_at, high_at = (s and math.exp((s[0] + s[1]) / 2) for s in sides)
+    return low_at, high_at
 
-    def edge(far: float) -> float | None:
-        if f(far) > want:
-            return None
-        a, b = math.log(x), math.log(far)
-        for _ in range(60):
-            m = (a + b) / 2
-            a, b = (m, b) if f(math.exp(m)) > want else (a, m)
-        return math.exp((a + b) / 2)
 
-    return edge(low), edge(high)
+def profile_interval(f, x: float, value: float, low: float, high: float) -> tuple[float | None, float | None]:
+    """``profile_interval_asking`` of a function."""
+    return answered_by(f, profile_interval_asking(x, value, low, high))
+
+
+def answered_by(f, asking):
+    """The result of a generator that asks for values of f."""
+    try:
+        places = next(asking)
+        while True:
+            places = asking.send([f(x) for x in places])
+    except StopIteration as end:
+        return end.value
 
 
 def chi2_tail(x: float) -> float:

@@ -169,22 +169,68 @@ def mk_rate_grid(spark, d):
     return found.mapInPandas(run, "rate double, ll double").groupBy("rate").agg(F.round(F.sum("ll"), 3).alias("log_likelihood"))
 
 
-def mk_rate_fit(spark, d):
-    """Rate of each brand by maximum likelihood, with a 95 % profile interval and a test against rate 1."""
+def _rate_fit():
+    """The fit of one brand, as a generator that asks for log-likelihoods at rates."""
+    best = yield from markov.maximise_asking(0.01, 20, brackets=10, steps=25)
+    low, high = yield from markov.profile_interval_asking(best["x"], best["value"], 0.01, 20)
+    (one,) = yield [1.0]
+    return {"fit": best["status"], "rate": round(best["x"], 4), "low": low and round(low, 4), "high": high and round(high, 4), "log_likelihood": round(best["value"], 3), "p_value": round(markov.chi2_tail(2 * (best["value"] - one)), 6)}
+
+
+def _large_rate_fits(rows: DataFrame, tips: list[str], edges: list[tuple[str, str, float]]) -> list[tuple]:
+    """The fits of all brands of the rows; a step of all of them is one sum over the patterns in the cluster."""
+    kind = rows.schema["p_brand"].dataType.simpleString()
+
+    def sums(asked: dict[str, list[float]]) -> dict[str, list[float]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for brand, own in pdf.groupby("p_brand"):
+                    t = _compatibilities(own["pattern"], tips, 3)
+                    ll = [_weighted(edges, t, own["w"].to_numpy(), r) for r in asked[brand]]
+                    yield pd.DataFrame({"p_brand": brand, "nth": range(len(ll)), "ll": ll})
+
+        out = {b: [0.0] * len(rates) for b, rates in asked.items()}
+        for r in rows.where(F.col("p_brand").isin(list(asked))).mapInPandas(run, f"p_brand {kind}, nth int, ll double").groupBy("p_brand", "nth").agg(F.sum("ll").alias("ll")).collect():
+            out[r.p_brand][r.nth] = r.ll
+        return out
+
+    going = {r.p_brand: _rate_fit() for r in rows.select("p_brand").distinct().collect()}
+    asked, done = {b: [float(x) for x in next(g)] for b, g in going.items()}, []
+    while asked:
+        values, asked = sums(asked), {}
+        for brand, v in values.items():
+            try:
+                asked[brand] = [float(x) for x in going[brand].send(v)]
+            except StopIteration as end:
+                done.append((brand, "complete", *end.value.values()))
+    return done
+
+
+def _weighted(edges, tips: dict[str, np.ndarray], w: np.ndarray, rate: float) -> float:
+    return float((markov.log_likelihood(edges, tips, lambda x: markov.expm(markov.equal_rates(3, rate) * x), np.full(3, 1 / 3)) * w).sum())
+
+
+def mk_rate_fit(spark, d, largest: int = LARGEST):
+    """Rate of each brand by maximum likelihood, with a 95 % profile interval and a test against rate 1.
+
+    A brand of more than ``largest`` patterns is fitted by sums over the cluster.
+    """
     tips, edges = _tips(spark, d), _tree(spark, d)
     rows = sites.patterns(_flags(spark, d), "p_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
-    rows = rows.groupBy("p_brand", "pattern").agg(F.count("*").alias("w"))
+    rows = Scratch(spark, "rates").write(rows.groupBy("p_brand", "pattern").agg(F.count("*").alias("w")), "rows")
 
     def kernel(pdf: pd.DataFrame) -> dict:
         pdf = pdf.sort_values("pattern")
-        t = _compatibilities(pdf["pattern"], tips, 3)
-        w = pdf["w"].to_numpy()
-        f = lambda r: float((markov.log_likelihood(edges, t, lambda x: markov.expm(markov.equal_rates(3, r) * x), np.full(3, 1 / 3)) * w).sum())
-        best = markov.maximise(f, 0.01, 20, brackets=10, steps=25)
-        low, high = markov.profile_interval(f, best["x"], best["value"], 0.01, 20)
-        return {"fit": best["status"], "rate": round(best["x"], 4), "low": low and round(low, 4), "high": high and round(high, 4), "log_likelihood": round(best["value"], 3), "p_value": round(markov.chi2_tail(2 * (best["value"] - f(1.0))), 6)}
-
-    return by_group(rows, ["p_brand"], kernel, "fit string, rate double, low double, high double, log_likelihood double, p_value double")
+        t, w = _compatibilities(pdf["pattern"], tips, 3), pdf["w"].to_numpy()
+        return markov.answered_by(lambda r: _weighted(edges, t, w, r), _rate_fit())
+
+    fields = "fit string, rate double, low double, high double, log_likelihood double, p_value double"
+    large = rows.dropna(subset=["p_brand"]).groupBy("p_brand").agg(F.count("*").alias("_size")).where(F.col("_size") > largest).select("p_brand")
+    if not large.take(1):
+        return by_group(rows, ["p_brand"], kernel, fields, largest)
+    done = by_group(rows.join(large, "p_brand", "left_anti"), ["p_brand"], kernel, fields, largest)
+    fits = _large_rate_fits(rows.join(large, "p_brand", "left_semi"), tips, edges)
+    return done.unionByName(spark.createDataFrame(fits, f"p_brand {rows.schema['p_brand'].dataType.simpleString()}, status string, {fields}"))
 
 
 def tract_likelihood(spark, d):
