@@ -1,8 +1,8 @@
 """Loading delimited rows: valid rows with typed coordinates, and each failing record with its reasons.
 
-One anchored pattern per schema accepts whole good rows. What it doesn't accept passes through patterns for growing
-field prefixes, which find the first broken field, and through exact rules for each value. Both are JVM expressions;
-possessive quantifiers keep them linear and without recursion, however long a row is.
+One anchored pattern per schema accepts whole good rows. What it doesn't accept gets its reasons from one pattern for quoting and
+exact rules for each value. Patterns for growing field prefixes find the first field whose quoting is broken
+(`first_broken`); no query selects it, so it isn't computed there. All are JVM expressions; possessive quantifiers keep them linear and without recursion, however long a row is.
 """
 
 from __future__ import annotations
