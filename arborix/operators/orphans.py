@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arborix.kernels import bitmaps as B
@@ -46,6 +48,20 @@ def _stacked(refs: list[Reference]) -> DataFrame:
     return out.where(F.col("ref").isNotNull() & ~F.col("ref").isin(*UNKNOWN))
 
 
+def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed bitmaps of the events of each batch; keys lie in order, so a range is in few batches."""
+    for batch in batches:
+        ids, owner = batch.column(0).to_numpy(), batch.column(1)
+        sizes = np.diff(owner.offsets.to_numpy())
+        parts = [(np.repeat(ids, sizes), B.REFERENCED, owner.flatten().to_numpy())]
+        for column, kind in ((batch.column(2), B.ARRIVED), (batch.column(3), B.WITHDRAWN)):
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            parts.append((ids[known], kind, column.drop_null().to_numpy()))
+        found = B.build(np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(p[0]), p[1], np.int32) for p in parts]), np.concatenate([p[2] for p in parts]))
+        columns = list(zip(*found)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key_range", "kind", "period", "bits"])
+
+
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
     found = B.not_present(pdf["kind"].to_numpy(), pdf["period"].to_numpy(), list(pdf["bits"]))
     base = int(pdf["key_range"].iloc[0]) * B.BITS
@@ -57,12 +73,13 @@ def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
 def orphans(parents: DataFrame, key: str, refs: list[Reference], loaded: str = "loaded_at", deleted: str = "deleted_at") -> DataFrame:
     """References whose parent is absent, or first loaded after, or withdrawn at the reference's own time.
 
-    Keys of both sides are aggregated to one row each and encoded as integers in key order; bitmaps per range of 2**15
-    keys and month hold arrivals, withdrawals and references; reference AND NOT parent, month by month, leaves the
-    candidates, whose bits are decoded and checked against the exact times.
+    Keys of both sides are aggregated to one row each and encoded as integers in key order; compressed bitmaps per range
+    of 2**15 keys and month hold arrivals, withdrawals and references, built where the keys lie and shuffled once by
+    range; reference AND NOT parent, month by month, leaves the candidates, whose bits are decoded and checked against
+    the exact times.
 
     A hot key is one row before any bitmap exists, and its references meet it again only if it survives (AQE splits
-    that join). Bitmaps number ranges x months, 4 KB each, empty ones are not stored.
+    that join). A bitmap is an array, runs or all bits, whichever is smallest: two bytes a key at most.
 
     Result: table_name, record_key, field_name, ref, at, cause (`missing`, `later` or `withdrawn`); one row for each
     referring row, repeated ones too; a null record_key stays null. No parents: every reference is `missing`; no
@@ -78,19 +95,11 @@ def orphans(parents: DataFrame, key: str, refs: list[Reference], loaded: str = "
     keys = mine.unionByName(theirs).groupBy("ref").agg(F.min("loaded").alias("loaded"), F.min("deleted").alias("deleted"), F.max("known").alias("known"), F.collect_set("p").alias("periods"))
     encoded = scratch.write(keys.repartitionByRange("ref").sortWithinPartitions("ref").withColumn("id", F.monotonically_increasing_id()), "keys")
 
-    entry = lambda kind, period: F.struct(F.lit(kind).alias("kind"), period.alias("period"))
-    events = F.concat(
-        F.transform("periods", lambda p: entry(B.REFERENCED, p)),
-        F.when(F.col("loaded").isNotNull(), F.array(entry(B.ARRIVED, month(F.col("loaded"))))).otherwise(F.array()),
-        F.when(F.col("deleted").isNotNull(), F.array(entry(B.WITHDRAWN, month(F.col("deleted"))))).otherwise(F.array()),
-    )
-    bits = (
-        encoded.where(F.size("periods") > 0)
-        .select(F.shiftright("id", 15).alias("key_range"), (F.col("id") % B.BITS).alias("pos"), F.explode(events).alias("e"))
-        .groupBy("key_range", "e.kind", "e.period")
-        .agg(F.bitmap_construct_agg("pos").alias("bits"))
-    )
-    left = bits.groupBy("key_range").applyInPandas(_survivors, "id long, period int")
+    at = lambda c: F.when(F.col(c).isNotNull(), month(F.col(c))).alias(c)
+    events = encoded.where(F.size("periods") > 0).select("id", "periods", at("loaded"), at("deleted"))
+    bits = events.mapInArrow(_containers, "key_range long, kind int, period int, bits binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    left = bits.repartition(tasks, "key_range").groupBy("key_range").applyInPandas(_survivors, "id long, period int")
     candidates = left.join(encoded.drop("periods"), "id").drop("id")
     hit = rows.withColumn("period", month(F.col("at"))).join(candidates, ["ref", "period"])
     cause = F.when(~F.col("known"), "missing").when(F.col("loaded") > F.col("at").cast("timestamp_ntz"), "later").when(F.col("deleted") <= F.col("at").cast("timestamp_ntz"), "withdrawn")
