@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from arborix.operators import forest
-from arborix.session import Scratch
 
 
 def ancestry(tree: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -60,7 +59,6 @@ def collapse_unary(tree: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def species_forest(spark, rows: DataFrame, scope, node, parent, length, label) -> tuple[DataFrame, DataFrame]:
     """The hierarchy of tree rows, written once, and lengths and labels of its nodes (the smallest of repeated ones)."""
-    tree = forest.hierarchy(forest.nodes(rows, scope, node, parent)).drop("n_descendants")
-    tree = Scratch(spark, "tree").write(tree, "tree")
+    tree = forest.Forest(forest.nodes(rows, scope, node, parent), paths=True).tree()
     one = rows.where(node.isNotNull()).groupBy(F.coalesce(scope, F.lit("")).alias("scope"), node.alias("node")).agg(F.min(length).alias("length"), F.min(label).alias("label"))
     return tree, one
