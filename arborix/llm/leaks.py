@@ -1,9 +1,10 @@
 """Held-out items whose passages stand in corpus texts, by latent semantic retrieval.
 
-1. The items of a block give the vocabulary; texts become arrays of its word ids, a table in the shared folder.
+1. Texts become arrays of word ids, a table in the shared folder: a word of the block's items has its own id, every other
+   word of the corpus one of 2**12 hashed ones, so that passages weigh all their words.
 2. Document frequencies over all texts; TF-IDF passages of 20 words.
 3. A randomised SVD: two passes over all passages apply the Gram matrix to a random sketch, summed by blocks of terms in
-   the cluster; the driver sees only matrices of vocabulary x rank. The items' own passages have equal weight.
+   the cluster, in two steps; the driver sees only matrices of vocabulary x rank. The items' own passages have equal weight.
 4. One pass over all texts: windows of 20 words every 8 go into the latent space and meet every item window by cosine.
 5. Word pairs that a text shares with an item give the candidates that no cosine bounds: every run of 13 words, and windows of 20 words at every place of both that can share 16.
 6. Candidates pass a longest-common-subsequence check, then the check of consecutive words (verbatim), or of the
@@ -16,11 +17,13 @@ where they arise and never shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from arborix.llm import passages as P
@@ -28,9 +31,14 @@ from arborix.llm.spread import spread
 from arborix.session import Scratch
 
 #: Words of items in a block. A block's vocabulary, windows and basis are broadcast: at most 400,000 words x 74 floats, 120 MB.
+#: A block closes with the item that fills it; an item of its own larger than that is a block of its own.
 BLOCK = 400_000
 RANK, OVERSAMPLE, THRESHOLD, PARAPHRASE = 64, 10, 0.45, 16
 ROWS, PAIRS, TERMS = 2_048, 20_000, 64
+#: Ids of the words that no item holds, by hash, and the first sums that the parts of a block of terms go into.
+HASHED, SUMS = 1 << 12, 16
+#: Words whose ids a task remembers at once.
+MOST_WORDS = 1_000_000
 #: Words of a piece of a text, and of the pieces that meet the items at once.
 PIECE, PIECES = 20_000, 40_000
 
@@ -45,13 +53,23 @@ def _word_ids(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        known = shared.value
+        size = len(known)
+
+        class Ids(dict):  # one lookup a word; a new word of the corpus is hashed once a task
+            def __missing__(self, w: str) -> int:
+                self[w] = i = size + zlib.crc32(w.encode("utf-8", "replace")) % HASHED
+                return i
+
+        ids_of = Ids(known)
         for batch in batches:
             out, ends = [], [0]
             for b in batch.column(1):
                 raw = b.as_py()
-                ids = [get(w, -1) for w in P.words(raw.decode("utf-8", "replace"))] if raw else []
-                out += ids
+                if raw:
+                    out += [ids_of[w] for w in P.words(raw.decode("utf-8", "replace"))]
+                if len(ids_of) > MOST_WORDS:
+                    ids_of = Ids(known)
                 ends.append(len(out))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))], ["key", "ids"])
 
@@ -98,19 +116,25 @@ def _gram(ids: DataFrame, idf: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarr
             rows = rows[(rows >= 0).any(1)]
             for lo in range(0, len(rows), ROWS):
                 energy += P.add_gram(rows[lo : lo + ROWS], weighted, idf, total)
-        blocks = [total[lo : lo + TERMS].tobytes() for lo in range(0, size, TERMS)]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(blocks)), -1], pa.int32()), pa.array([*blocks, np.array([energy]).tobytes()], pa.binary())], ["block", "data"])
+        touched = [lo for lo in range(0, size, TERMS) if total[lo : lo + TERMS].any()]
+        data = [*(total[lo : lo + TERMS].tobytes() for lo in touched), np.array([energy]).tobytes()]
+        part = TaskContext.get().partitionId() % SUMS
+        yield pa.RecordBatch.from_arrays([pa.array([*touched, -1], pa.int32()), pa.array([part] * len(data), pa.int32()), pa.array(data, pa.binary())], ["block", "part", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in pdf["data"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [0], "data": [total.tobytes()]})
 
-    found = ids.select("ids").mapInArrow(run, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary").toPandas()
-    parts = {int(b): np.frombuffer(x) for b, x in zip(found["block"], found["data"])}
-    energy = float(parts.pop(-1, np.zeros(1))[0])
-    if not parts:
-        return np.zeros((size, width)), 0.0
-    return np.concatenate([parts[b] for b in sorted(parts)]).reshape(size, width), energy
+    fields = "block int, part int, data binary"
+    sums = ids.select("ids").mapInArrow(run, fields).groupBy("block", "part").applyInPandas(add, fields)
+    found = sums.groupBy("block").applyInPandas(add, fields).toPandas()
+    total, energy = np.zeros((size, width)), 0.0
+    for lo, x in zip(found["block"], found["data"]):
+        if lo < 0:
+            energy = float(np.frombuffer(x)[0])
+        else:
+            total[lo : lo + TERMS] = np.frombuffer(x).reshape(-1, width)
+    return total, energy
 
 
 def _basis(ids: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int, seed: int) -> np.ndarray:
@@ -130,6 +154,11 @@ def _basis(ids: DataFrame, idf: np.ndarray, own: np.ndarray, rank: int, seed: in
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def _parts(columns: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    for lo in range(0, len(columns[0]), PAIRS):
+        yield tuple(v[lo : lo + PAIRS] for v in columns)
+
+
 def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray, telling: np.ndarray, index: P.Index, threshold: float, paraphrase: int) -> DataFrame:
     shared = ids.sparkSession.sparkContext.broadcast((basis, own, item, telling, index, P.project(own, basis)))
     key = ids.schema["key"].dataType.simpleString()
@@ -143,9 +172,9 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
         good = (run >= P.RUN) | para
         return np.stack([text[good], of[good], run[good], subsequence[good]])
 
-    def latent_pairs(lists: tuple[np.ndarray, ...], basis, own, item, telling, latent) -> Iterator[np.ndarray]:
+    def latent_pairs(lists: tuple[np.ndarray, ...], basis, own, item, telling, latent, index) -> Iterator[np.ndarray]:
         rows, owner = P.windows(*lists, P.STEP, P.RUN)
-        keep = (rows >= 0).sum(1) >= P.RUN
+        keep = ((rows >= 0) & (rows < index.size)).sum(1) >= P.RUN
         rows, owner = rows[keep], owner[keep]
         for lo in range(0, len(rows), ROWS):
             part = rows[lo : lo + ROWS]
@@ -156,22 +185,23 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
 
     def exact_pairs(lists: tuple[np.ndarray, ...], index: P.Index, telling: np.ndarray) -> Iterator[np.ndarray]:
         flat, starts, lengths = lists
-        starts, lengths, owner = P.pieces(starts, lengths, PIECE)
+        starts, lengths, owner = P.pieces(starts, lengths, max(PIECE, 2 * index.longest), index.longest)
         group = np.cumsum(lengths) // PIECES
         for g in np.unique(group):
             mine = np.flatnonzero(group == g)
             first, long = starts[mine], lengths[mine]
             hits = index.hits(flat, first, long)
-            for text, of, i, j in (index.verbatim(hits), index.near(hits, long)):
-                for lo in range(0, len(text), PAIRS):
-                    t, o, x, y = (v[lo : lo + PAIRS] for v in (text, of, i, j))
-                    yield check(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y), owner[mine[t]], o, telling)
+            for t, o, x, y, n in _parts(index.verbatim(hits)):
+                subsequence, _ = P.longest(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y))
+                yield np.stack([owner[mine[t]], o, n, subsequence])
+            for t, o, x, y in _parts(index.near(hits, long)):
+                yield check(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y), owner[mine[t]], o, telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis, own, item, telling, index, latent = shared.value
         for batch in batches:
             lists = _lists(batch.column(1))
-            found = [*latent_pairs(lists, basis, own, item, telling, latent), *exact_pairs(lists, index, telling)]
+            found = [*latent_pairs(lists, basis, own, item, telling, latent, index), *exact_pairs(lists, index, telling)]
             if found and (pairs := np.concatenate(found, 1)).shape[1]:
                 best = pd.DataFrame({"o": pairs[0], "i": pairs[1], "r": pairs[2], "s": pairs[3]}).groupby(["o", "i"], as_index=False).max()
                 yield pa.RecordBatch.from_arrays(
@@ -188,9 +218,10 @@ def leaks(
     """The key, item_key, kind, longest_run and longest_subsequence of each text with a passage of an item.
 
     kind is `verbatim` with 13 or more consecutive words in common, otherwise `paraphrase`: of 20 words 16 (the
-    parameter) in the same order, and every word with a digit of the item's window. longest_run and
-    longest_subsequence are those inside windows of 20 words, at any place of both; of a verbatim pair with fewer than 16
-    words in the same order longest_subsequence is that of the windows that were met, at least 13.
+    parameter) in the same order, and every word with a digit of the item's window. longest_run is
+    the whole run of a verbatim pair, however long (of a paraphrase the longest inside its windows). longest_subsequence
+    is that of windows of 20 words, at any place of both; of a verbatim pair with fewer than 16 words in the same order
+    that of the windows that were met, at least 13.
 
     Null and empty texts and items, and those with fewer than 13 words, are in no pair. Repeated rows give one row.
     The items are a stated query set, taken in blocks; a block is broadcast, the texts are never.
@@ -204,12 +235,13 @@ def leaks(
     part: list = []
     n = held = 0
     for last, row in _with_end(wanted.toLocalIterator()):
-        if row is not None and len(w := P.words(row.t)) >= P.RUN:
-            part.append((row.k, w))
-            held += len(w)
-        if part and (last or held >= block):
+        w = P.words(row.t) if row is not None else []
+        if part and (last or held + len(w) > block):
             out = out.unionByName(_block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, paraphrase, seed))
             part, n, held = [], n + 1, 0
+        if len(w) >= P.RUN:
+            part.append((row.k, w))
+            held += len(w)
     return out.distinct() if n > 1 else out
 
 
@@ -223,12 +255,13 @@ def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, pa
     names = sorted({w for _, ws in part for w in ws})
     vocabulary = {w: i for i, w in enumerate(names)}
     size = len(names)
+    every = size + HASHED
     flat = np.array([vocabulary[w] for _, ws in part for w in ws], np.int32)
     lengths = np.array([len(ws) for _, ws in part], np.int64)
     own, item = P.windows(flat, np.cumsum(lengths) - lengths, lengths, P.STEP, P.RUN)
     ids = scratch.write(_word_ids(rows, vocabulary), f"ids{n}")
-    seen = _frequencies(ids, size)
-    idf = np.log((seen[size] + 1) / (seen[:size] + 1)) + 1
+    seen = _frequencies(ids, every)
+    idf = np.log((seen[every] + 1) / (seen[:every] + 1)) + 1
     basis = _basis(ids, idf, own, rank, seed)
     weighted = _with_idf(basis, idf)
     telling = np.zeros(size + 2, bool)

@@ -116,6 +116,7 @@ class Index:
         self.needed = 3 * least - 2 * LENGTH - 1 if self.gram == 2 else least
         owner = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(flat)) - self.starts[owner]
+        self.longest = max(2 * LENGTH, int(lengths.max(initial=0)))
         code, inside = self.codes(flat, place, lengths[owner])
         code, owner, place = code[inside], owner[inside], place[inside]
         order = np.argsort(code, kind="stable")
@@ -125,9 +126,9 @@ class Index:
     def codes(self, flat: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         here = flat.astype(np.int64)
         if self.gram == 1:
-            return here, here >= 0
+            return here, (here >= 0) & (here < self.size)
         after = np.append(here[1:], -1)
-        return here * self.size + after, (here >= 0) & (after >= 0) & (place + 1 < length)
+        return here * self.size + after, (here >= 0) & (here < self.size) & (after >= 0) & (after < self.size) & (place + 1 < length)
 
     def hits(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, item, place in the text and place in the item of each gram in common, of the pairs with enough of them."""
@@ -145,19 +146,17 @@ class Index:
         hit, which = hit[enough], which[enough]
         return owner[hit], self.item[which], place[hit], self.place[which]
 
-    def verbatim(self, hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and both places of the first word of each common run of RUN words or more."""
+    def verbatim(self, hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Text, item, both places of the first word and the number of words of each common run of RUN words or more."""
         text, item, p, q = hits
         order = np.lexsort((p, q - p, item, text))
         text, item, p, q = (x[order] for x in (text, item, p, q))
-        far = RUN - self.gram
-        if len(p) <= far:
-            return text[:0], item[:0], p[:0], q[:0]
-        next_to = lambda k: (text[k:] == text[:-k]) & (item[k:] == item[:-k]) & (p[k:] - p[:-k] == k) & (q[k:] - q[:-k] == k)
-        first = next_to(far)
-        first[1:] &= ~next_to(1)[: len(first) - 1]
-        at = np.flatnonzero(first)
-        return text[at], item[at], p[at], q[at]
+        new = np.ones(len(p), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(p) != 1) | (np.diff(q) != 1)
+        first = np.flatnonzero(new)
+        words = np.diff(np.append(first, len(p))) + self.gram - 1
+        at, words = first[words >= RUN], words[words >= RUN]
+        return text[at], item[at], p[at], q[at], words
 
     def near(self, hits: tuple[np.ndarray, ...], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, item and the places in both of all windows that can have ``least`` words in the same order."""
@@ -214,10 +213,10 @@ def window_at(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.
     return np.where(inside, flat[np.where(inside, starts[:, None] + place, 0)], PAD).astype(np.int32)
 
 
-def pieces(starts: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of pieces of at most ``most`` words, and the text of each; any 2 * LENGTH words lie in one."""
-    step = most - 2 * LENGTH
-    n = np.maximum(1, -(-(lengths - 2 * LENGTH) // step))
+def pieces(starts: np.ndarray, lengths: np.ndarray, most: int, whole: int = 2 * LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of pieces of at most ``most`` words, and the text of each; any ``whole`` words lie in one."""
+    step = most - whole
+    n = np.maximum(1, -(-(lengths - whole) // step))
     owner = np.repeat(np.arange(len(lengths)), n)
     lo = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * step
     return starts[owner] + lo, np.minimum(lengths[owner] - lo, most), owner

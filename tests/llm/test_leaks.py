@@ -151,3 +151,30 @@ def test_paraphrases_at_every_offset(spark):
     for least in (15, 13):
         rows = leaks(t, "doc_id", "text", i, "item_id", "item_text", threshold=2.0, paraphrase=least).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == set(paraphrased(docs, items, least)) | verbatim
+
+
+def test_run_lengths_are_whole(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.sample(WORDS, n))) for k, n in enumerate((13, 40, 90, 300))]
+    docs = [(k, " ".join([*sentence(rng.randrange(30)), *P.words(t), *sentence(7)])) for k, t in items] + [(9, " ".join(sentence(19_900) + P.words(items[3][1])))]
+    t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id): r.longest_run for r in leaks(t, "doc_id", "text", i, "item_id", "item_text").collect()}
+    assert [got[k, k] for k in range(4)] == [13, 40, 90, 300] and got[9, 3] == 300
+
+
+def test_recall_of_planted_rewrites(spark):
+    """Items rewritten with a word in twelve replaced, left out or put in, at any place of a text of the same words."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(900)]
+    items = [(k, " ".join(rng.sample(words, 60))) for k in range(40)]
+    docs = []
+    for d in range(200):
+        part = P.words(items[d % 40][1])
+        at = rng.randrange(20)
+        part = [x for w in part[at : at + 40] for x in (rng.choice([[], [rng.choice(words)], [w, rng.choice(words)]]) if rng.random() < 1 / 12 else [w])]
+        docs.append((d, " ".join([*rng.choices(words, k=rng.randrange(60)), *part, *rng.choices(words, k=rng.randrange(60))])))
+    t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(t, "doc_id", "text", i, "item_id", "item_text").collect()}
+    found = sum((d, d % 40) in got for d in range(200))
+    print("rewrites found", found, "others", len(got) - found)
+    assert found >= 180 and len(got) - found <= 2
