@@ -5,6 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 TIE = 1e-12
+NANO = 1_000_000_000
+
+
+def exact_mean(value: Column) -> Column:
+    """The mean to six digits, whatever the order of the rows: values count in whole billionths, halves round up."""
+    units = F.floor(value * NANO + 0.5).cast("long")
+    return F.floor((2 * F.sum(units) + 1000 * F.count(value)) / (2000 * F.count(value))).cast("long") / 1_000_000.0
+
+
+def exact_mean_sql(value: str) -> str:
+    """The same in SQL."""
+    return f"floor((2 * sum(floor({value} * {NANO} + 0.5::DOUBLE)::BIGINT) + 1000 * count({value})) / (2000 * count({value})))::BIGINT / 1000000.0::DOUBLE"
+
+
+def exact_sum(value: Column, digits: int = 3) -> Column:
+    """The sum of values in whole billionths, rounded."""
+    return F.round(F.sum(F.floor(value * NANO + 0.5).cast("decimal(38,0)")).cast("double") / NANO, digits)
 
 
 def pair_threshold(threshold: Column, distance: Column) -> Column:

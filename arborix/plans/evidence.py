@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from arborix.functions import status
+from arborix.functions import scores, status
 from arborix.operators import copies as O, ranges, sites as S
 from arborix.plans.matches import _M, _matches
 from arborix.plans.structure import OCC, PATH, _ORDER, _P, _exonic, _occ
@@ -35,7 +35,7 @@ def completion_calls(spark, d):
         F.when(F.col("alignment_score").isNull() | F.col("coverage_score").isNull(), "unresolved_no_alignment").when((F.col("match_status") == "mapped") & (support >= SUPPORT), "present_supported")
         .when(F.col("match_status") == "mapped", "present_weak").when(F.col("match_status") == "candidate_ambiguous", "ambiguous").when(support >= SUPPORT, "unresolved_supported").otherwise("unresolved")
     )
-    return m.groupBy(call.alias("completion_call"), F.col("backend")).agg(F.count("*").alias("n"), F.round(F.avg(support), 6).alias("mean_support"))
+    return m.groupBy(call.alias("completion_call"), F.col("backend")).agg(F.count("*").alias("n"), scores.exact_mean(support).alias("mean_support"))
 
 
 def junction_observations(spark, d):
@@ -56,7 +56,7 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
 
 def posterior_summary(spark, d):
     """Per layer and state: nodes, mean probability, and how often least changes chose the same state."""
-    return _states(spark, d).groupBy("layer", "state").agg(F.count("*").alias("n_nodes"), F.round(F.avg("p"), 6).alias("mean_probability"), F.sum(F.coalesce(F.col("parsimony"), F.lit(0)).cast("long")).alias("n_parsimony_best"))
+    return _states(spark, d).groupBy("layer", "state").agg(F.count("*").alias("n_nodes"), scores.exact_mean(F.col("p")).alias("mean_probability"), F.sum(F.coalesce(F.col("parsimony"), F.lit(0)).cast("long")).alias("n_parsimony_best"))
 
 
 def event_labels(spark, d):
@@ -171,11 +171,13 @@ n AS (SELECT homology_id, count(*) AS n_parts FROM h GROUP BY 1)
 SELECT homology_id, n_parts, covered, overlap, width - covered AS uncovered, CASE WHEN n_parts = 1 THEN 'single_projection' WHEN overlap > 0 THEN 'repeated_overlap' ELSE 'complementary_disjoint' END AS relation FROM ag JOIN n USING (homology_id)""",
     "completion_calls": _M
     + """, c AS (SELECT backend, least(alignment_score, coverage_score) AS s, CASE WHEN alignment_score IS NULL OR coverage_score IS NULL THEN 'unresolved_no_alignment' WHEN match_status = 'mapped' AND least(alignment_score, coverage_score) >= 0.55::DOUBLE THEN 'present_supported' WHEN match_status = 'mapped' THEN 'present_weak'
-WHEN match_status = 'candidate_ambiguous' THEN 'ambiguous' WHEN least(alignment_score, coverage_score) >= 0.55::DOUBLE THEN 'unresolved_supported' ELSE 'unresolved' END AS completion_call FROM m) SELECT completion_call, backend, count(*) AS n, round(avg(s), 6) AS mean_support FROM c GROUP BY 1, 2""",
+WHEN match_status = 'candidate_ambiguous' THEN 'ambiguous' WHEN least(alignment_score, coverage_score) >= 0.55::DOUBLE THEN 'unresolved_supported' ELSE 'unresolved' END AS completion_call FROM m) SELECT completion_call, backend, count(*) AS n, """
+    + scores.exact_mean_sql("s")
+    + " AS mean_support FROM c GROUP BY 1, 2",
     "junction_observations": OCC
     + f""", j AS (SELECT occurrence_id AS left_id, lead(occurrence_id) OVER w AS right_id, greatest(start, lead(start) OVER w) - least("end", lead("end") OVER w) - 1 AS free FROM ex WHERE transcript_id IS NOT NULL WINDOW w AS (PARTITION BY {_P} ORDER BY {_ORDER}))
 SELECT left_id, right_id, CASE WHEN free > 0 THEN 'present' WHEN free = 0 THEN 'absent' ELSE 'undetermined' END AS junction, CASE WHEN free > 0 THEN free END AS intron_length FROM j WHERE right_id IS NOT NULL""",
-    "posterior_summary": _STATES + "SELECT layer, state, count(*) AS n_nodes, round(avg(p), 6) AS mean_probability, sum(coalesce(parsimony, 0))::BIGINT AS n_parsimony_best FROM s GROUP BY 1, 2",
+    "posterior_summary": _STATES + "SELECT layer, state, count(*) AS n_nodes, " + scores.exact_mean_sql("p") + " AS mean_probability, sum(coalesce(parsimony, 0))::BIGINT AS n_parsimony_best FROM s GROUP BY 1, 2",
     "event_labels": _STATES
     + """, up AS (SELECT node_id, min(parent_id) AS parent_id FROM species_tree WHERE node_id IS NOT NULL AND parent_id NOT IN ('', 'NA', '.') GROUP BY 1), j AS (SELECT c.layer, c.object_id, p.state AS was, c.state FROM s c JOIN up USING (node_id) JOIN s p ON p.layer = c.layer AND p.object_id = c.object_id AND p.node_id = up.parent_id)
 SELECT layer, CASE WHEN was = state THEN 'unchanged' WHEN was = '0' THEN 'gain' WHEN state = '0' THEN 'loss' ELSE 'switch' END AS change, count(*) AS n_branches, count(DISTINCT object_id) AS n_objects FROM j GROUP BY 1, 2""",

@@ -166,7 +166,7 @@ def mk_rate_grid(spark, d):
                 ll = [float((markov.log_likelihood(edges, t, lambda x, r=r: markov.expm(markov.equal_rates(3, r) * x), np.full(3, 1 / 3)) * pdf["w"]).sum()) for r in RATES]
                 yield pd.DataFrame({"rate": RATES, "ll": ll})
 
-    return found.mapInPandas(run, "rate double, ll double").groupBy("rate").agg(F.round(F.sum("ll"), 3).alias("log_likelihood"))
+    return found.mapInPandas(run, "rate double, ll double").groupBy("rate").agg(scores.exact_sum(F.col("ll")).alias("log_likelihood"))
 
 
 def _rate_fit():

@@ -112,7 +112,7 @@ def confidence_calls(spark, d):
     deg = M.degrees(_matches(spark, d).where("match_status = 'mapped'"), "query_occurrence_id", "subject_occurrence_id")
     rows = _homology(spark, d).join(deg, "occurrence_id", "left")
     adj = status.adjusted_confidence(status.confidence(F.col("confidence")), F.coalesce(F.col("degree"), F.lit(0)))
-    return rows.groupBy("support_type", F.when(F.round(adj, 9) >= 0.7, "core").otherwise("peripheral").alias("call")).agg(F.count("*").alias("n"), F.round(F.avg(adj), 6).alias("mean_confidence"))
+    return rows.groupBy("support_type", F.when(F.round(adj, 9) >= 0.7, "core").otherwise("peripheral").alias("call")).agg(F.count("*").alias("n"), scores.exact_mean(adj).alias("mean_confidence"))
 
 
 def reference_choice(spark, d):
@@ -194,7 +194,7 @@ SELECT *, CASE WHEN n_species > 1 THEN 'observed_in_multiple_species' WHEN n_spe
     "confidence_calls": _M
     + _H
     + _D
-    + f", a AS (SELECT support_type, least(1.0::DOUBLE, 0.75::DOUBLE * {_CONF} + 0.25::DOUBLE * least(1.0::DOUBLE, coalesce(degree, 0) / 2.0::DOUBLE)) AS x FROM h LEFT JOIN deg USING (occurrence_id)) SELECT support_type, CASE WHEN round(x, 9) >= 0.7::DOUBLE THEN 'core' ELSE 'peripheral' END AS call, count(*) AS n, round(avg(x), 6) AS mean_confidence FROM a GROUP BY 1, 2",
+    + f", a AS (SELECT support_type, least(1.0::DOUBLE, 0.75::DOUBLE * {_CONF} + 0.25::DOUBLE * least(1.0::DOUBLE, coalesce(degree, 0) / 2.0::DOUBLE)) AS x FROM h LEFT JOIN deg USING (occurrence_id)) SELECT support_type, CASE WHEN round(x, 9) >= 0.7::DOUBLE THEN 'core' ELSE 'peripheral' END AS call, count(*) AS n, {scores.exact_mean_sql('x')} AS mean_confidence FROM a GROUP BY 1, 2",
     "reference_choice": _M
     + _O
     + _H

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from arborix.functions import scores
 from arborix.operators import forest, sites as S, trees as T
 from arborix.plans.problems import _P5
 from arborix.session import Scratch, table
@@ -164,7 +165,7 @@ def dataset_loglik(spark, d):
     found, logs = _logs(spark, d)
     root = logs.where("node = 'root'").select("pattern", S.root_log_likelihood(GAIN, LOSS, F.col("v0"), F.col("v1")).alias("l"))
     kind = F.when(F.col("pattern").contains("0") & F.col("pattern").contains("1"), "observed_contrast").when(F.col("pattern").rlike("[01]"), "no_observed_contrast").otherwise("all_missing")
-    return found.groupBy("pattern").agg(F.count("*").alias("w")).join(root, "pattern").groupBy(kind.alias("pattern_class")).agg(F.sum("w").alias("n"), F.round(F.sum(F.col("w") * F.col("l")), 3).alias("log_likelihood"))
+    return found.groupBy("pattern").agg(F.count("*").alias("w")).join(root, "pattern").groupBy(kind.alias("pattern_class")).agg(F.sum("w").alias("n"), scores.exact_sum(F.col("w") * F.col("l")).alias("log_likelihood"))
 
 
 def root_posterior(spark, d):

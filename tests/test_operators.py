@@ -77,3 +77,18 @@ def test_depth_and_components_where_intervals_touch(spark):
     assert got == {"a": (9, 0, 0, "complementary_disjoint"), "b": (9, 1, 0, "repeated_overlap"), "c": (3, 0, 0, "single_projection")}
     assert {(r.k, r.start, r.end) for r in copies.merged(df, ["k"]).collect()} == {("a", 1, 9), ("b", 1, 9), ("c", 1, 3)}
     assert copies.components(df, ["k"]).where("k = 'b'").count() == 2
+
+
+def test_overlaps_of_any_length(spark):
+    import random
+
+    rng = random.Random(2)
+    top = 2**63 - 1
+    spans = [(1, top), (top, top), (1, 1), (5, 2**40), (2**39, 2**39 + 2**20), (16_384, 16_384)]
+    spans += [(s, min(top, s + rng.choice([0, 10, 20_000, 3_000_000, 10**10]))) for s in (rng.randrange(1, 10**7) for _ in range(60))]
+    df = spark.createDataFrame([(i, "k", s, e) for i, (s, e) in enumerate(spans)], "id long, key string, start long, end long")
+    got = sorted((r.l_id, r.r_id) for r in ranges.overlap_join(df, df, ["key"]).collect())
+    assert got == sorted((i, j) for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if a <= d and c <= b)
+    points = spark.createDataFrame([(1, "k", 1), (2, "k", top), (3, "k", 2**39)], "id long, key string, at long")
+    got = sorted((r.l_id, r.r_id) for r in ranges.point_join(points, "at", df, ["key"]).collect())
+    assert got == sorted((i, j) for i, p in ((1, 1), (2, top), (3, 2**39)) for j, (a, b) in enumerate(spans) if a <= p <= b)
