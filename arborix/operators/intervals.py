@@ -14,15 +14,16 @@ def _apart(start: Column, reach: Column) -> Column:
     return F.when(start > reach, start - 1 > reach).otherwise(False)
 
 
-def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", chunk_bits: int = 16) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", parts: int | None = None) -> DataFrame:
     """Continuous covered periods of each entity and the gaps between them.
 
     Rows are sorted by start, each start is compared with the running maximum of the earlier ends, islands get
     cumulative labels and are aggregated; a gap is what lies before an island that isn't the entity's first.
 
-    No entity is ever one task: repeated starts are aggregated first, then positions are cut into chunks of
-    2**chunk_bits (at most that many rows each); islands are formed inside a chunk, and only one row a chunk
-    (its reach, its number of islands) goes through the entity's own window to carry the running values across.
+    No entity is ever one task: repeated starts are aggregated first, then all rows are cut by entity and start into
+    chunks of about equal numbers of rows (``parts``, by default the shuffle partitions), so a dense or a sparse entity
+    is spread alike; islands are formed inside a chunk, and only one row a chunk (its reach, its number of islands)
+    goes through the entity's own window to carry the running values across.
 
     Result: the keys, kind (`period` or `gap`), start_pos, end_pos; touching segments belong together.
     Rows with a null key, start or end, or start > end, don't count. No rows give no rows. Repeats and extra columns
@@ -33,7 +34,10 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end:
     keep = F.col("_s") <= F.col("_e")
     for n in k:
         keep = keep & F.col(n).isNotNull()
-    chunks = rows.where(keep).groupBy(*k, "_s").agg(F.max("_e").alias("_e")).withColumn("_c", F.shiftright("_s", chunk_bits))
+    scratch = Scratch(df.sparkSession, "periods")
+    starts = scratch.write(rows.where(keep).groupBy(*k, "_s").agg(F.max("_e").alias("_e")), "starts")  # sampled, then ranged
+    ranged = starts.repartitionByRange(parts, *k, "_s") if parts else starts.repartitionByRange(*k, "_s")
+    chunks = ranged.withColumn("_c", F.spark_partition_id())
 
     inside = W.partitionBy(*k, "_c").orderBy("_s")
     earlier, upto = inside.rowsBetween(FIRST, BEFORE), inside.rowsBetween(FIRST, HERE)
@@ -44,7 +48,8 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end:
         .groupBy(*k, "_c", "_i")
         .agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
     )
-    local = Scratch(df.sparkSession, "periods").write(local, "local")  # read four times below
+    local = scratch.write(local, "local")  # read four times below
+    scratch.drop("starts")
     across = W.partitionBy(*k).orderBy("_c").rowsBetween(FIRST, BEFORE)
     carried = local.groupBy(*k, "_c").agg(F.max("_e").alias("_m")).select(*k, "_c", F.max("_m").over(across).alias("_carry"))
     opened = (

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from arborix.operators.intervals import periods_and_gaps
 
 SCHEMA = "copy string, contig string, start long, `end` long, kind string, start_pos string, _s int"
@@ -24,9 +26,9 @@ def brute(rows):
     return out
 
 
-def run(spark, rows, bits=16):
+def run(spark, rows, parts=None):
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in periods_and_gaps(df, ["copy", "contig"], chunk_bits=bits).collect()]
+    got = [tuple(r) for r in periods_and_gaps(df, ["copy", "contig"], parts=parts).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -37,8 +39,8 @@ def test_random_spans_at_every_chunk_size(spark):
     for _ in range(1500):
         s = rng.randrange(1, 900) if rng.random() < 0.9 else rng.randrange(1, 10**6)
         rows.append((rng.choice("aab"), rng.choice(["x", "y"]), s, s + rng.choice([-3, 0, 1, 5, 40, 3000 if rng.random() < 0.01 else 2]), "k", "z", 1))
-    for bits in (1, 4, 16):
-        assert run(spark, rows, bits) == brute(rows)
+    for parts in (1, 4, 16, None):
+        assert run(spark, rows, parts) == brute(rows)
 
 
 def test_touching_nested_nulls_and_extremes(spark):
@@ -56,3 +58,11 @@ def test_touching_nested_nulls_and_extremes(spark):
 
 def test_empty(spark):
     assert run(spark, []) == set()
+
+
+def test_one_sparse_entity_is_cut_in_even_chunks(spark):
+    rows = [("hot", "x", i * 10**9, i * 10**9 + 5 + (2 * 10**9 if i % 7 == 0 else 0), None, None, None) for i in range(4000)]
+    assert run(spark, rows, 8) == brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = [r["count"] for r in df.repartitionByRange(8, "copy", "contig", "start").groupBy(F.spark_partition_id().alias("c")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * min(sizes)
