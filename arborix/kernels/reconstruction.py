@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -21,31 +22,29 @@ def observation_scenarios(options: dict[str, list], limit: int = OBSERVATIONS) -
     return [dict(zip(names, c)) for c in product(*(options[n] for n in names))]
 
 
+def _permitted(space: X.Space, arriving: frozenset[str]) -> X.Space:
+    """The edits of a branch: a tract arrives only on the one that it is assigned to."""
+    return replace(space, edits=[e for e in space.edits if e[2] != "dna_insertion" or e[3] in arriving])
+
+
 def _costs(space: X.Space, arriving: frozenset[str], cost: dict[str, float] | None) -> np.ndarray:
-    part = X.Space(space.catalogue, space.states, [e for e in space.edits if e[2] != "dna_insertion" or e[3] in arriving])
-    return X.edit_distances(part, cost)
+    return X.edit_distances(_permitted(space, arriving), cost)
 
 
 def reconstruct(space: X.Space, edges, tips: dict[str, np.ndarray], cost: dict[str, float] | None = None, limit: int = X.ORIGINS) -> dict:
-    """Least edits over all origins of the tracts, and for each branch and kind the least and most edits in any optimum.
+    """Least edits over all origins of the tracts, and for each branch and edit its least and most occurrences in any optimum.
+
+    Edits are told apart by what they change, so two shifts of one branch are two.
 
     An event is required on a branch if every optimal history has it there, possible if some has. What is possible on
     several branches is never summed.
     """
-    if space.status != "complete":
-        raise X.Refused(space.status)
     root = edges[-1][1]
-    nodes = [*(c for c, _, _ in edges), root]
     names = [t[0] for t in space.catalogue.tracts]
-    if len(nodes) ** len(names) > limit:
-        raise X.Refused("origin_scenarios_incomplete")
     cache: dict[frozenset, np.ndarray] = {}
-    best, bounds = math.inf, {}
-    for origin in product(nodes, repeat=len(names)):
-        wanted = tuple(int(v == root) for v in origin)
-        start = np.array([0.0 if s[1] == wanted else math.inf for s in space.states])
-        if not np.isfinite(start).any():
-            continue
+    best, optima = math.inf, defaultdict(list)
+    for origin, fits in X.origins(space, edges, tips, limit):
+        start = np.where(fits, 0.0, math.inf)
         at = {c: frozenset(n for n, v in zip(names, origin) if v == c) for c, _, _ in edges}
         for a in at.values():
             if a not in cache:
@@ -59,7 +58,7 @@ def reconstruct(space: X.Space, edges, tips: dict[str, np.ndarray], cost: dict[s
         if not math.isfinite(total) or total > best + 1e-9:
             continue
         if total < best - 1e-9:
-            best, bounds = total, {}
+            best, optima = total, defaultdict(list)
         outside = {root: start}
         kids = defaultdict(list)
         for child, parent, _ in edges:
@@ -72,17 +71,13 @@ def reconstruct(space: X.Space, edges, tips: dict[str, np.ndarray], cost: dict[s
             d = cache[at[child]]
             outside[child] = (rest[:, None] + d).min(0)
             ends = np.argwhere(rest[:, None] + d + inside[child][None, :] <= total + 1e-9)
-            part = X.Space(space.catalogue, space.states, [e for e in space.edits if e[2] != "dna_insertion" or e[3] in at[child]])
-            seen: dict[str, list[tuple[int, int]]] = defaultdict(list)
-            for i, j in ends:
-                b = X.event_bounds(part, d, int(i), int(j), cost)
-                for k in X.KINDS:
-                    seen[k].append(b.get(k, (0, 0)))
-            for k, v in seen.items():
-                low, high = min(x for x, _ in v), max(y for _, y in v)
-                old = bounds.get((child, k))
-                bounds[child, k] = (low, high) if old is None else (min(low, old[0]), max(high, old[1]))
-    events = [{"branch": c, "kind": k, "least": lo, "most": hi, "call": "required" if lo else "possible"} for (c, k), (lo, hi) in sorted(bounds.items()) if hi]
+            part = _permitted(space, at[child])
+            optima[child] += [X.event_bounds(part, d, int(i), int(j), cost) for i, j in ends]
+    events = []
+    for branch, ways in sorted(optima.items()):
+        for e in sorted({e for w in ways for e in w}):
+            low, high = min(w.get(e, (0, 0))[0] for w in ways), max(w.get(e, (0, 0))[1] for w in ways)
+            events.append({"branch": branch, "kind": e.split()[0], "event": e, "least": low, "most": high, "call": "required" if low else "possible"})
     return {"min_edits": best if math.isfinite(best) else None, "events": events}
 
 
@@ -97,20 +92,28 @@ def expected_changes(q: np.ndarray, length: float) -> np.ndarray:
     return markov.expm(block * length)[:n, n:]
 
 
-def sample_branch(q: np.ndarray, length: float, start: int, end: int, rng: np.random.Generator, most: int = 10_000) -> list[tuple[float, int]]:
-    """A history between two states as (time, new state), by uniformisation: a number of virtual steps, then the states between."""
+def sample_branch(q: np.ndarray, length: float, start: int, end: int, rng: np.random.Generator) -> list[tuple[float, int]]:
+    """A history between two states as (time, new state), by uniformisation: a number of virtual steps, then the states between.
+
+    A branch with more than 200 expected virtual steps is halved until it has fewer, its middle state drawn from both
+    halves, so that no weight underflows and the series ends by itself, without a limit of steps.
+    """
     rate = float(-q.diagonal().min()) or 1.0
+    if rate * length > 200:
+        half = markov.expm(q * (length / 2))
+        weights = np.maximum(half[start] * half[:, end], 0.0)
+        middle = int(rng.choice(len(q), p=weights / weights.sum()))
+        later = sample_branch(q, length / 2, middle, end, rng)
+        return sample_branch(q, length / 2, start, middle, rng) + [(t + length / 2, s) for t, s in later]
     step = np.eye(len(q)) + q / rate
-    want = markov.expm(q * length)[start, end]
-    u, total, k, powers = rng.random() * want, 0.0, 0, [np.eye(len(q))]
-    weight = math.exp(-rate * length)
-    while True:
+    want, total, weight = rng.random(), 0.0, math.exp(-rate * length)
+    whole = float(markov.expm(q * length)[start, end])
+    powers = [np.eye(len(q))]
+    while total + weight * powers[-1][start, end] < want * whole * (1 - 1e-12) and weight > 0:
         total += weight * powers[-1][start, end]
-        if total >= u or k >= most:
-            break
-        k += 1
-        weight *= rate * length / k
+        weight *= rate * length / len(powers)
         powers.append(powers[-1] @ step)
+    k = len(powers) - 1
     times = np.sort(rng.random(k)) * length
     out, at = [], start
     for i in range(k):

@@ -23,6 +23,8 @@ from arborix.operators import sites
 from arborix.session import Scratch, table
 
 RATES = tuple(float(round(x, 6)) for x in np.geomspace(0.05, 5, 12))
+#: Matches between two copies that one task chains (40 MB); the sweep takes n log n steps.
+LARGEST_CHAIN = 1_000_000
 COST = ((0, 1, 2), (1, 0, 1), (2, 1, 0))
 
 
@@ -56,7 +58,7 @@ def colinear_chains(spark, d):
         got = chains.chain(*(pdf[c].to_numpy() for c in ("q_start", "q_end", "t_start", "t_end", "score")))
         return {"n_candidates": len(pdf), "best_score": round(got["best"], 6), "n_in_chain": len(got["path"]), "n_retained": int(got["retained"].sum()), "n_obligatory": int(got["obligatory"].sum())}
 
-    return by_group(rows, ["left_copy", "right_copy"], kernel, "n_candidates long, best_score double, n_in_chain long, n_retained long, n_obligatory long", largest=2_000)
+    return by_group(rows, ["left_copy", "right_copy"], kernel, "n_candidates long, best_score double, n_in_chain long, n_retained long, n_obligatory long", largest=LARGEST_CHAIN)
 
 
 def greedy_clusters(spark, d, largest: int = LARGEST):
@@ -88,28 +90,41 @@ def greedy_clusters(spark, d, largest: int = LARGEST):
 
 
 @functools.lru_cache(maxsize=4096)
-def _space(exons: tuple[tuple[int, int], ...]) -> tuple[str, int, int, int]:
+def _space(order: tuple[int, ...]) -> tuple[str, int | None, int | None, int | None]:
+    """The space of exons whose borders have the given ranks (start, end, start, end...)."""
+    exons = tuple(zip(order[::2], order[1::2]))
     whole = (exons[0][0], exons[-1][1])
     spans = (whole, *exons) if len(exons) > 1 else exons
     space = X.enumerate_space(X.Catalogue(whole[1], spans, tuple((a[1], b[0]) for a, b in zip(exons, exons[1:])), (), spans))
-    return space.status, space.geometries, len(space.states), len(space.edits)
+    return (space.status, space.geometries, len(space.states), len(space.edits)) if space.status == "complete" else (space.status, None, None, None)
 
 
 def state_spaces(spark, d):
-    """Size of the configuration space of each copy's merged exons; too large ones are refused.
+    """Size of the configuration space of each copy's merged exons; one that exceeds a declared limit is refused, with nulls.
 
-    Only the order of borders matters, so copies of one number of exons share a computation.
+    The space depends on the order of the borders alone, so they are ranked and copies of one order share a computation.
+    A copy of more exons than any space within the limit of spans can have (every exon start with every later end) is
+    refused before its exons are gathered.
     """
-    merged = copies.merged(_exonic(spark, d), [*COPY, "contig"])
-    exons = merged.groupBy(*COPY, "contig").agg(F.count("*").alias("n_exons"))
+    keys = [*COPY, "contig"]
+    merged = copies.merged(_exonic(spark, d), keys)
+    n = merged.groupBy(*keys).agg(F.count("*").alias("n_exons"))
+    feasible = F.col("n_exons") * (F.col("n_exons") + 1) / 2 <= X.SPANS
+    exons = n.where(feasible).join(merged, keys).groupBy(*keys, "n_exons").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"))
+    borders = F.flatten(F.transform("exons", lambda x: F.array(x["start"], x["end"])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [_space(tuple((10 * i, 10 * i + 5) for i in range(int(n)))) if n <= 16 else ("state_space_incomplete: spans", 0, 0, 0) for n in pdf["n_exons"]]
-            yield pdf.assign(status=[g[0] for g in got], n_geometries=[g[1] for g in got], n_states=[g[2] for g in got], n_edits=[g[3] for g in got])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in exons.schema)
-    return exons.mapInPandas(run, kinds + ", status string, n_geometries long, n_states long, n_edits long")
+            got = [_space(tuple(np.unique(b, return_inverse=True)[1].tolist())) for b in pdf["borders"]]
+            out = pdf.drop(columns="borders").assign(status=[g[0] for g in got])
+            for i, c in enumerate(("n_geometries", "n_states", "n_edits"), 1):
+                out[c] = pd.array([g[i] for g in got], "Int64")
+            yield out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in n.schema)
+    done = exons.select(*keys, "n_exons", borders.alias("borders")).mapInPandas(run, kinds + ", status string, n_geometries long, n_states long, n_edits long")
+    none = [F.lit(None).cast("long").alias(c) for c in ("n_geometries", "n_states", "n_edits")]
+    return done.unionByName(n.where(~feasible).select(*keys, "n_exons", F.lit("state_space_incomplete: spans").alias("status"), *none))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:

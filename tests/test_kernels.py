@@ -184,3 +184,41 @@ def test_greedy_clusters_never_mix_incompatible_members():
             assert owner[a] != owner[b] and frozenset((a, b)) in linked
     assert C.greedy_clusters([(1, 1, "a", "b")], {"a": "x", "b": "x"}) == {"a": "a", "b": "b"}
     assert C.greedy_clusters([(1, 1, "a", "b")], {"a": "x", "b": "x"}, {frozenset("ab")}) == {"a": "a", "b": "a"}
+
+
+def _chains(c):
+    """Every set of candidates that follow each other strictly, brute force."""
+    n = len(c)
+    follows = lambda i, j: c[i][1] < c[j][0] and c[i][3] < c[j][2]
+    grow = [(i,) for i in range(n)]
+    while grow:
+        yield from grow
+        grow = [(*p, j) for p in grow for j in range(n) if follows(p[-1], j)]
+
+
+def test_chains_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 10))
+        q, t = rng.integers(0, 60, n), rng.integers(0, 60, n)
+        c = np.stack([q, q + rng.integers(0, 12, n), t, t + rng.integers(0, 12, n)], 1)
+        score = rng.integers(1, 20, n).astype(float)
+        every = [(sum(score[i] for i in p), p) for p in _chains(c.tolist())]
+        top = max(s for s, _ in every)
+        slack = max(C.SLACK, C.SHARE * top)
+        got = C.chain(c[:, 0], c[:, 1], c[:, 2], c[:, 3], score)
+        assert got["best"] == top and sum(score[i] for i in got["path"]) == top
+        for i in range(n):
+            assert got["through"][i] == max(s for s, p in every if i in p)
+            without = max((s for s, p in every if i not in p), default=-np.inf)
+            assert got["obligatory"][i] == (got["retained"][i] and without < top - slack - 1e-9)
+        whole = sorted(((s, p) for s, p in every if not any(set(p) < set(o) for _, o in every)), key=lambda w: (-w[0], w[1]))[:2]
+        assert [s for s, _ in C.best_two_paths(c[:, 0], c[:, 1], c[:, 2], c[:, 3], score)] == [s for s, _ in whole]
+
+
+def test_long_chains_are_quick():
+    rng = np.random.default_rng(1)
+    n = 60_000
+    q, t = np.sort(rng.integers(0, 10**8, n)), rng.integers(0, 10**8, n)
+    got = C.chain(q, q + 50, t, t + 50, rng.integers(1, 50, n).astype(float))
+    assert got["best"] > 0 and got["retained"].any()
