@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborix.plans import evidence, kernels, matches, problems, sequences, structure, trees
+from arborix.plans import correspondence, evidence, kernels, matches, problems, sequences, structure, trees
 
-MODULES = [problems, structure, matches, trees, sequences, kernels, evidence]
+MODULES = [problems, structure, matches, trees, sequences, kernels, evidence, correspondence]
 
 
 def queries() -> dict:
