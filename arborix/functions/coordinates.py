@@ -56,3 +56,10 @@ def genomic_block(token: Column) -> Column:
     pattern = r"^(.+):(\d+)-(\d+):([+-])$"
     get = lambda g: F.regexp_extract(token, pattern, g)
     return F.when(token.rlike(pattern), F.struct(get(1).alias("contig"), get(2).cast("long").alias("start"), get(3).cast("long").alias("end"), get(4).alias("strand")))
+
+
+def genomic_blocks(blocks: Column, side: str, contig: Column, start: Column, end: Column, strand: Column) -> Column:
+    """Blocks of one side (`q` or `t`, 1-based in the record) as `contig:start-end:strand` in the genome, sorted, joined with `;`."""
+    one = lambda b: to_genome(strand, start, end, b[f"{side}_start"], b[f"{side}_end"])
+    text = lambda g: F.concat(contig, F.lit(":"), g["start"].cast("string"), F.lit("-"), g["end"].cast("string"), F.lit(":"), strand)
+    return F.array_join(F.transform(F.array_sort(F.filter(F.transform(blocks, one), lambda g: g.isNotNull())), text), ";")

@@ -95,3 +95,20 @@ def tracts(rows: dict[str, str], least: int = 1) -> list[tuple[int, int, dict[st
         if 0 in state.values() and 1 in state.values():
             out.append((s, e, state))
     return out
+
+
+def aligned_rows(query: str, target: str, cigar: str) -> tuple[str, str]:
+    """The two rows of an alignment from its CIGAR.
+
+    M, = and X take a base of both, I of the query, D and N of the target; S takes query bases that stand in no column; H and
+    P take nothing. A number may be left out (1). Bases that the CIGAR doesn't reach stand in no column either.
+    """
+    a, b, i, j = [], [], 0, 0
+    for number, op in re.findall(r"(\d*)([MIDNSHP=X])", cigar):
+        n = int(number or 1)
+        from_query, from_target = op in "M=XIS", op in "M=XDN"
+        if op in "MIDN=X":
+            a.append(query[i : i + n].ljust(n, "N") if from_query else "-" * n)
+            b.append(target[j : j + n].ljust(n, "N") if from_target else "-" * n)
+        i, j = i + n * from_query, j + n * from_target
+    return "".join(a), "".join(b)

@@ -12,6 +12,7 @@ from arborix.functions import evidence as E, scores, status
 from arborix.kernels import rates
 from arborix.operators import copies as O, matching as M, sites as S
 from arborix.operators.grouped import by_group
+from arborix.operators.scenarios import robust as O_robust
 from arborix.plans.matches import _M, _O, _T, _homology, _matches
 from arborix.plans.structure import COPY, OCC, _exonic, _occ
 from arborix.plans.trees import _CELLS, INNER, OUTER, _cells, _costs, _edges, _tips
@@ -114,13 +115,14 @@ def universe_validation(spark, d):
 
 
 def ancestral_consistency(spark, d):
-    """Presence against role of one object and node: an exonic or other role of absent DNA is a conflict."""
+    """Presence against role in a family at a node: an exonic or other role of absent DNA is a conflict."""
     rows = table(spark, d, "ancestral_state_probabilities").where("object_id is not null and node_id is not null and state in ('0', '1') and probability >= 0.5 and not isnan(probability)")
-    sets = rows.groupBy("object_id", "node_id", "layer").agg(F.array_join(F.sort_array(F.collect_set("state")), ";").alias("states"))
-    dna = sets.where("layer = 'exon_presence'").select("object_id", "node_id", c("states").alias("dna"))
-    role = sets.where("layer = 'exon_role'").select("object_id", "node_id", c("states").alias("role"))
+    rows = rows.withColumn("family_id", F.regexp_extract("object_id", "(FAM[0-9]+)", 1))
+    sets = rows.groupBy("family_id", "node_id", "layer").agg(F.array_join(F.sort_array(F.collect_set("state")), ";").alias("states"))
+    dna = sets.where("layer = 'exon_presence'").select("family_id", "node_id", c("states").alias("dna"))
+    role = sets.where("layer = 'exon_role'").select("family_id", "node_id", c("states").alias("role"))
     call = F.when((c("dna") == "0") & c("role").isin("0", "1"), "incompatible_singleton_states").when(c("dna") != "1", "dna_presence_unresolved").otherwise("no_applicability_conflict")
-    return role.join(dna, ["object_id", "node_id"]).select("object_id", "node_id", c("dna").alias("sequence_states"), c("role").alias("role_states"), call.alias("status"))
+    return role.join(dna, ["family_id", "node_id"]).select("family_id", "node_id", c("dna").alias("sequence_states"), c("role").alias("role_states"), call.alias("status"))
 
 
 def event_tiers(spark, d):
@@ -259,11 +261,48 @@ def model_fits(spark, d):
     return by_group(rows, ["p_brand"], kernel, "fit string, er_rate double, er_loglik double, gain double, loss double, ard_loglik double, p_value double, chosen string", largest=1_000_000)
 
 
+def _views(spark, d) -> DataFrame:
+    """Inner changes of the witness of each character and region, under three readings of what is unknown (a scenario each)."""
+    cells = _cells(spark, d)
+    edges = F.broadcast(_edges(spark, d).where("level = 1").select(c("child").alias("tip"), c("parent").alias("region")))
+    readings = F.array(*[F.struct(F.lit(n).alias("scenario"), s.alias("s")) for n, s in (("as_observed", c("state")), ("unknown_absent", F.coalesce("state", F.lit(0))), ("unknown_present", F.coalesce("state", F.lit(1))))])
+    rows = cells.join(edges, "tip").select("p_partkey", "region", F.explode(readings).alias("r")).select("p_partkey", "region", "r.*")
+    n = lambda v: F.sum(F.coalesce(c("s") == v, F.lit(False)).cast("long"))
+    per = rows.groupBy("p_partkey", "region", "scenario").agg(n(0).alias("n0"), n(1).alias("n1"))
+    return per.select("p_partkey", "region", "scenario", F.least("n0", "n1").alias("least"), F.when(c("n0") * c("n1") > 0, F.least("n0", "n1") + 1).otherwise(F.least("n0", "n1")).alias("most"), F.when(c("n0") + c("n1") == 0, "none").when(c("n0") > c("n1"), "gain").otherwise("loss").alias("consequence"))
+
+
+def robust_events(spark, d):
+    """Changes within a region over all readings of what is unknown: required if every reading has them, possible if some has."""
+    return O_robust(_views(spark, d).where("most > 0"), ["p_partkey", "region"], "scenario", 3)
+
+
+def gene_summaries(spark, d):
+    """Brands' characters: those with one number of changes under every reading are resolved, and only their changes are summed."""
+    rows = O_robust(_views(spark, d), ["p_partkey", "region"], "scenario", 3).groupBy("p_partkey").agg(F.sum("minimum_count").alias("lo"), F.sum("maximum_count").alias("hi"))
+    rows = rows.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    ok = c("lo") == c("hi")
+    n = lambda x: F.sum(x.cast("long"))
+    return rows.groupBy("p_brand").agg(F.count("*").alias("n_units"), n(ok).alias("n_resolved"), n(~ok).alias("n_unresolved"), F.sum(F.when(ok, c("lo"))).alias("edits_of_resolved"))
+
+
+def element_assignment(spark, d):
+    """Elements of each occurrence by its source label, else by occurrence alone; several make it ambiguous, with the set kept."""
+    h = _homology(spark, d).select("homology_id", "occurrence_id", status.state(c("source_label")).alias("label")).distinct()
+    o = _latest(spark, d).select("occurrence_id", status.state(c("annotation_source")).alias("annotation"))
+    elements = lambda rows: F.array_join(F.sort_array(F.collect_set(rows)), ";")
+    exact = h.where("label <> 'unknown'").groupBy("occurrence_id").agg(elements(c("homology_id")).alias("by_label"), F.count_distinct("homology_id").alias("n_label"))
+    every = h.groupBy("occurrence_id").agg(elements(c("homology_id")).alias("by_id"), F.count_distinct("homology_id").alias("n_id"))
+    rows = o.join(every, "occurrence_id", "left").join(exact, "occurrence_id", "left")
+    n = F.coalesce("n_label", "n_id", F.lit(0))
+    return rows.select("occurrence_id", "annotation", F.coalesce("by_label", "by_id").alias("elements"), n.alias("n_elements"), F.when(n == 0, "unassigned").when(n > 1, "ambiguous").when(c("n_label").isNotNull(), "by_label").otherwise("by_occurrence").alias("assignment"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pair_evidence, edge_eligibility, missing_elements, site_matrix, universe_validation, ancestral_consistency, event_tiers, history_witness, path_completeness, input_validation, backend_baselines, native_paths,
-        catalogue_axes, projection_compatibility, anchor_cover, model_fits,
+        catalogue_axes, projection_compatibility, anchor_cover, model_fits, robust_events, gene_summaries, element_assignment,
     )
 }
 
@@ -291,7 +330,22 @@ _STATES = """
 WITH r AS (SELECT layer, object_id, node_id, state, max(probability) AS p FROM ancestral_state_probabilities WHERE layer IS NOT NULL AND object_id IS NOT NULL AND node_id IS NOT NULL AND state IN ('0', '1', '2', '3') AND probability IS NOT NULL AND NOT isnan(probability) GROUP BY ALL),
 s AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY layer, object_id, node_id ORDER BY p DESC, state) = 1)
 """
+_VIEWS = (
+    _CELLS
+    + """, v AS (SELECT p_partkey, region, sc, count(*) FILTER (s = 0) AS n0, count(*) FILTER (s = 1) AS n1 FROM (SELECT p_partkey, region, 'as_observed' AS sc, state AS s FROM cells UNION ALL SELECT p_partkey, region, 'unknown_absent', coalesce(state, 0) FROM cells UNION ALL SELECT p_partkey, region, 'unknown_present', coalesce(state, 1) FROM cells) GROUP BY 1, 2, 3),
+w AS (SELECT p_partkey, region, sc, least(n0, n1) AS lo, CASE WHEN n0 * n1 > 0 THEN least(n0, n1) + 1 ELSE least(n0, n1) END AS hi, CASE WHEN n0 + n1 = 0 THEN 'none' WHEN n0 > n1 THEN 'gain' ELSE 'loss' END AS co FROM v)
+"""
+)
 SQL = {
+    "robust_events": _VIEWS
+    + "SELECT p_partkey, region, CASE WHEN count(*) < 3 THEN 0 ELSE min(lo) END::BIGINT AS minimum_count, max(hi)::BIGINT AS maximum_count, CASE WHEN CASE WHEN count(*) < 3 THEN 0 ELSE min(lo) END > 0 THEN 'required' ELSE 'possible' END AS support, string_agg(DISTINCT co, ';' ORDER BY co) AS consequences FROM w WHERE hi > 0 GROUP BY 1, 2",
+    "gene_summaries": _VIEWS
+    + ", u AS (SELECT p_partkey, sum(lo) AS lo, sum(hi) AS hi FROM (SELECT p_partkey, region, min(lo) AS lo, max(hi) AS hi FROM w GROUP BY 1, 2) GROUP BY 1) SELECT p_brand, count(*) AS n_units, count(*) FILTER (lo = hi) AS n_resolved, count(*) FILTER (lo <> hi) AS n_unresolved, (sum(lo) FILTER (lo = hi))::BIGINT AS edits_of_resolved FROM u JOIN part USING (p_partkey) GROUP BY 1",
+    "element_assignment": OCC
+    + f""", h AS (SELECT DISTINCT homology_id, occurrence_id, {_ST("source_label")} AS label FROM segment_homology WHERE homology_id IS NOT NULL AND occurrence_id IS NOT NULL),
+x AS (SELECT occurrence_id, string_agg(DISTINCT homology_id, ';' ORDER BY homology_id) AS bl, count(DISTINCT homology_id) AS nl FROM h WHERE label <> 'unknown' GROUP BY 1), y AS (SELECT occurrence_id, string_agg(DISTINCT homology_id, ';' ORDER BY homology_id) AS bi, count(DISTINCT homology_id) AS ni FROM h GROUP BY 1)
+SELECT latest.occurrence_id, {_ST("annotation_source")} AS annotation, coalesce(bl, bi) AS elements, coalesce(nl, ni, 0) AS n_elements, CASE WHEN coalesce(nl, ni, 0) = 0 THEN 'unassigned' WHEN coalesce(nl, ni) > 1 THEN 'ambiguous' WHEN nl IS NOT NULL THEN 'by_label' ELSE 'by_occurrence' END AS assignment
+FROM latest LEFT JOIN y USING (occurrence_id) LEFT JOIN x USING (occurrence_id)""",
     "pair_evidence": OCC
     + _AND(_M)
     + f""", pl AS (SELECT occurrence_id, CASE WHEN count(*) OVER p > 1 THEN (row_number() OVER w - 1)::DOUBLE / (count(*) OVER p - 1) ELSE 0 END AS place, coalesce(lag(role) OVER w, 'terminal') AS l, coalesce(lead(role) OVER w, 'terminal') AS r FROM occ
@@ -318,9 +372,9 @@ SELECT e.family_id, e.homology_id, one.species, gene_copy_id FROM (SELECT DISTIN
     "universe_validation": _MATRIX
     + """, n AS (SELECT family_id, count(DISTINCT species) AS n_species FROM lo GROUP BY 1), v AS (SELECT family_id, homology_id, layer, count(DISTINCT species) AS n_cells, count(*) FILTER (state IN ('present', 'absent', 'exonic', 'not_exonic')) AS n_known FROM mat GROUP BY 1, 2, 3)
 SELECT layer, CASE WHEN n_cells <> n_species THEN 'incomplete' WHEN n_known = 0 THEN 'all_masked' WHEN n_known < n_species THEN 'complete_with_masks' ELSE 'complete' END AS verdict, count(*) AS n_elements FROM v JOIN n USING (family_id) GROUP BY 1, 2""",
-    "ancestral_consistency": """WITH s AS (SELECT object_id, node_id, layer, string_agg(DISTINCT state, ';' ORDER BY state) AS states FROM ancestral_state_probabilities WHERE object_id IS NOT NULL AND node_id IS NOT NULL AND state IN ('0', '1') AND probability >= 0.5 AND NOT isnan(probability) GROUP BY ALL)
-SELECT r.object_id, r.node_id, p.states AS sequence_states, r.states AS role_states, CASE WHEN p.states = '0' AND r.states IN ('0', '1') THEN 'incompatible_singleton_states' WHEN p.states <> '1' THEN 'dna_presence_unresolved' ELSE 'no_applicability_conflict' END AS status
-FROM s r JOIN s p ON p.object_id = r.object_id AND p.node_id = r.node_id WHERE r.layer = 'exon_role' AND p.layer = 'exon_presence'""",
+    "ancestral_consistency": """WITH s AS (SELECT regexp_extract(object_id, '(FAM[0-9]+)', 1) AS family_id, node_id, layer, string_agg(DISTINCT state, ';' ORDER BY state) AS states FROM ancestral_state_probabilities WHERE object_id IS NOT NULL AND node_id IS NOT NULL AND state IN ('0', '1') AND probability >= 0.5 AND NOT isnan(probability) GROUP BY ALL)
+SELECT r.family_id, r.node_id, p.states AS sequence_states, r.states AS role_states, CASE WHEN p.states = '0' AND r.states IN ('0', '1') THEN 'incompatible_singleton_states' WHEN p.states <> '1' THEN 'dna_presence_unresolved' ELSE 'no_applicability_conflict' END AS status
+FROM s r JOIN s p ON p.family_id = r.family_id AND p.node_id = r.node_id WHERE r.layer = 'exon_role' AND p.layer = 'exon_presence'""",
     "event_tiers": _STATES
     + """, up AS (SELECT node_id, min(parent_id) AS parent_id FROM species_tree WHERE node_id IS NOT NULL AND parent_id NOT IN ('', 'NA', '.') GROUP BY 1),
 j AS (SELECT a.layer, a.object_id, a.p * b.p AS both_p, least(a.p, b.p) AS le, round(1 - least(a.p, b.p), 9) AS pv FROM s a JOIN up USING (node_id) JOIN s b ON b.layer = a.layer AND b.object_id = a.object_id AND b.node_id = up.parent_id WHERE b.state <> a.state),
