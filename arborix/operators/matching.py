@@ -9,22 +9,55 @@ from arborix.session import Scratch
 
 
 def best_with_ties(df: DataFrame, group: list[str], score: str) -> DataFrame:
-    """best_status of each row: best_unique, best_tie or not_best, within a tolerance of 1e-12."""
-    w = W.partitionBy(*group)
-    top = F.coalesce(F.abs(F.max(score).over(w) - F.col(score)) < TIE, F.lit(False))
-    rows = df.withColumn("_top", top)
-    n = F.sum(F.col("_top").cast("int")).over(w)
-    return rows.withColumn("best_status", F.when(~F.col("_top"), "not_best").when(n > 1, "best_tie").otherwise("best_unique")).drop("_top")
+    """best_status of each row: best_unique, best_tie or not_best, within a tolerance of 1e-12.
+
+    The best score and the number of rows that have it are aggregated and joined back, so a hub's rows are never one task.
+    """
+    best = df.groupBy(*group).agg(F.max(score).alias("_best"))
+    rows = df.join(best, group, "left").withColumn("_top", F.coalesce(F.abs(F.col("_best") - F.col(score)) < TIE, F.lit(False)))
+    n = rows.where("_top").groupBy(*group).agg(F.count("*").alias("_n"))
+    return rows.join(n, group, "left").withColumn("best_status", F.when(~F.col("_top"), "not_best").when(F.col("_n") > 1, "best_tie").otherwise("best_unique")).drop("_top", "_best", "_n")
 
 
 def reciprocal_best(matches: DataFrame, key: str, left: str, right: str, score: str) -> DataFrame:
     """Each match that is the best of both its ends, ends taken without direction, ties kept.
 
-    Both ends become rows once; the best score of an end is a window, and a match counts if it's best at two ends.
+    Both ends become rows once; the best score of an end is aggregated and joined back, and a match counts if it's best at
+    two ends.
     """
     ends = matches.select(key, F.col(score).alias("_s"), F.explode(F.array(F.col(left), F.col(right))).alias("_end"))
-    best = F.coalesce(F.abs(F.max("_s").over(W.partitionBy("_end")) - F.col("_s")) < TIE, F.lit(False))
-    return ends.withColumn("_b", best).groupBy(key).agg(F.min("_b").alias("_all")).where("_all").select(key)
+    top = ends.groupBy("_end").agg(F.max("_s").alias("_m"))
+    best = F.coalesce(F.abs(F.col("_m") - F.col("_s")) < TIE, F.lit(False))
+    return ends.join(top, "_end").groupBy(key).agg(F.min(best).alias("_all")).where("_all").select(key)
+
+
+def cumulative(df: DataFrame, keys: list[str], by: str, weight: str, scratch: Scratch) -> DataFrame:
+    """Rows with `chunk`, `upto` (the running sum of the weight in order of ``by``) and `whole` (the key's sum).
+
+    Rows are cut by key and order into chunks of about equal size; only one row a chunk goes through the key's own window.
+    The pairs of keys and ``by`` must be distinct; rows with a null key belong to none.
+    """
+    rows = scratch.write(df, "rows")
+    chunks = rows.repartitionByRange(*keys, by).withColumn("chunk", F.spark_partition_id())
+    inside = W.partitionBy(*keys, "chunk").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    local = scratch.write(chunks.withColumn("_u", F.sum(weight).over(inside)), "local")
+    whole = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_t").over(whole.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = local.groupBy(*keys, "chunk").agg(F.sum(weight).alias("_t")).select(*keys, "chunk", before.alias("_b"), F.sum("_t").over(whole).alias("whole"))
+    return local.join(totals, [*keys, "chunk"]).withColumn("upto", F.col("_b") + F.col("_u")).drop("_b", "_u")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each key, and `n`: equal values are one row, and a rank is found in its chunk."""
+    scratch = Scratch(df.sparkSession, "quantiles")
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    rows = cumulative(counted, keys, "_v", "_k", scratch)
+    place = lambda p: (F.col("whole") - 1) * F.lit(p)
+    at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("_k") <= rank), F.col("_v")))
+    got = rows.groupBy(*keys).agg(F.max("whole").alias("n"), *[x for n, p in shares.items() for x in (at(F.floor(place(p))).alias(f"_lo_{n}"), at(F.ceil(place(p))).alias(f"_hi_{n}"))])
+    pos = lambda p: (F.col("n") - 1) * F.lit(p)
+    mixed = lambda n, p: F.when(F.floor(pos(p)) == F.ceil(pos(p)), F.col(f"_lo_{n}")).otherwise((F.ceil(pos(p)) - pos(p)) * F.col(f"_lo_{n}") + (pos(p) - F.floor(pos(p))) * F.col(f"_hi_{n}"))
+    return got.select(*keys, *[mixed(n, p).alias(n) for n, p in shares.items()], "n")
 
 
 def degrees(matches: DataFrame, left: str, right: str) -> DataFrame:
@@ -42,13 +75,17 @@ def vote(df: DataFrame, group: list[str], label: str, weight: Column, share: flo
 def bh_adjust(df: DataFrame, tests: list[str], p: str, out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg: the running minimum of p * m / rank from the largest p down, within each family of tests.
 
-    Equal p values share a rank, and are one row until the join back, so ties aren't ordered by chance.
+    Equal p values share a rank, and are one row until the join back, so ties aren't ordered by chance. A family of any
+    size is cut into chunks; ranks and minima are carried across them by one row a chunk.
     """
+    scratch = Scratch(df.sparkSession, "adjusted")
     counted = df.where(F.col(p).isNotNull()).groupBy(*tests, p).agg(F.count("*").alias("_k"))
-    up, down = W.partitionBy(*tests).orderBy(p), W.partitionBy(*tests).orderBy(F.desc(p))
-    rank, m = F.sum("_k").over(up), F.sum("_k").over(W.partitionBy(*tests))
-    q = counted.withColumn("_v", F.col(p) * m / rank)
-    q = q.withColumn(out, F.least(F.lit(1.0), F.min("_v").over(down))).select(*tests, p, out)
+    q = cumulative(counted, tests, p, "_k", scratch).withColumn("_v", F.col(p) * F.col("whole") / F.col("upto"))
+    down = W.partitionBy(*tests, "chunk").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    q = scratch.write(q.withColumn("_m", F.min("_v").over(down)), "minima")
+    later = F.min("_c").over(W.partitionBy(*tests).orderBy("chunk").rowsBetween(1, W.unboundedFollowing))
+    chunks = q.groupBy(*tests, "chunk").agg(F.min("_v").alias("_c")).select(*tests, "chunk", later.alias("_l"))
+    q = q.join(chunks, [*tests, "chunk"]).select(*tests, p, F.least(F.lit(1.0), F.col("_m"), F.col("_l")).alias(out))
     return df.join(q, [*tests, p], "left")
 
 

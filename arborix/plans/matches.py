@@ -75,8 +75,8 @@ def sensitivity_grid(spark, d):
 
 def score_quantiles(spark, d):
     """Interpolated quantiles of the total score by backend."""
-    q = lambda p: F.round(F.percentile("total_score", p), 6)
-    return _matches(spark, d).where("total_score is not null and not isnan(total_score)").groupBy("backend").agg(q(0.025).alias("q025"), q(0.5).alias("q500"), q(0.975).alias("q975"), F.count("*").alias("n"))
+    rows = M.quantiles(_matches(spark, d).where("total_score is not null and not isnan(total_score)"), ["backend"], "total_score", {"q025": 0.025, "q500": 0.5, "q975": 0.975})
+    return rows.select("backend", *[F.round(q, 6).alias(q) for q in ("q025", "q500", "q975")], "n")
 
 
 def bh_qvalues(spark, d):

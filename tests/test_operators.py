@@ -92,3 +92,21 @@ def test_overlaps_of_any_length(spark):
     points = spark.createDataFrame([(1, "k", 1), (2, "k", top), (3, "k", 2**39)], "id long, key string, at long")
     got = sorted((r.l_id, r.r_id) for r in ranges.point_join(points, "at", df, ["key"]).collect())
     assert got == sorted((i, j) for i, p in ((1, 1), (2, top), (3, 2**39)) for j, (a, b) in enumerate(spans) if a <= p <= b)
+
+
+def test_one_family_of_tests_is_cut_in_chunks(spark):
+    rng = random.Random(8)
+    p = [round(rng.random() ** 2, 3) for _ in range(3000)]
+    df = spark.createDataFrame([("hot", x, i) for i, x in enumerate(p)] + [("b", 0.5, -1), ("b", None, -2)], "t string, p double, i long")
+    order = sorted(p)
+    m, q, low = len(p), {}, 1.0
+    for k in range(m - 1, -1, -1):
+        if k == m - 1 or order[k] != order[k + 1]:
+            low = min(low, order[k] * m / (k + 1))
+        q[order[k]] = low
+    got = {r.i: r.q_value for r in matching.bh_adjust(df, ["t"], "p").collect()}
+    assert all(abs(got[i] - q[x]) < 1e-12 for i, x in enumerate(p)) and got[-1] == 0.5 and got[-2] is None
+    one = matching.quantiles(df.where("t = 'hot'"), ["t"], "p", {"lo": 0.025, "mid": 0.5, "hi": 0.975}).first()
+    import numpy as np
+
+    assert [round(one[x], 9) for x in ("lo", "mid", "hi")] == [round(float(v), 9) for v in np.quantile(p, [0.025, 0.5, 0.975])] and one.n == 3000
