@@ -159,7 +159,7 @@ def _parts(columns: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
         yield tuple(v[lo : lo + PAIRS] for v in columns)
 
 
-def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray, telling: np.ndarray, index: P.Index, threshold: float, paraphrase: int) -> DataFrame:
+def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray, telling: np.ndarray, index: P.Index, threshold: float, paraphrase: int, reworded: bool) -> DataFrame:
     shared = ids.sparkSession.sparkContext.broadcast((basis, own, item, telling, index, P.project(own, basis)))
     key = ids.schema["key"].dataType.simpleString()
 
@@ -167,7 +167,7 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
         both = P.sharing(a, b, min(P.RUN, paraphrase))
         a, b, text, of = a[both], b[both], text[both], of[both]
         subsequence, run = P.longest(a, b)
-        para = subsequence >= paraphrase
+        para = (subsequence >= paraphrase) & reworded
         para[para] = P.answered(a[para], b[para], telling)
         good = (run >= P.RUN) | para
         return np.stack([text[good], of[good], run[good], subsequence[good]])
@@ -194,7 +194,7 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
             for t, o, x, y, n in _parts(index.verbatim(hits)):
                 subsequence, _ = P.longest(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y))
                 yield np.stack([owner[mine[t]], o, n, subsequence])
-            for t, o, x, y in _parts(index.near(hits, long)):
+            for t, o, x, y in _parts(index.near(hits, long)) if reworded else ():
                 yield check(P.window_at(flat, first[t], long[t], x), index.item_windows(o, y), owner[mine[t]], o, telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
 
 
 def leaks(
-    texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, rank: int = RANK, threshold: float = THRESHOLD, paraphrase: int = PARAPHRASE, seed: int = 7, block: int = BLOCK
+    texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, rank: int = RANK, threshold: float = THRESHOLD, paraphrase: int = PARAPHRASE, seed: int = 7, block: int = BLOCK, reworded: bool = True
 ) -> DataFrame:
     """The key, item_key, kind, longest_run and longest_subsequence of each text with a passage of an item.
 
@@ -223,6 +223,9 @@ def leaks(
     is that of windows of 20 words, at any place of both; of a verbatim pair with fewer than 16 words in the same order
     that of the windows that were met, at least 13.
 
+    Without ``reworded`` only verbatim passages are sought, by the same search without the windows that can only be
+    paraphrases.
+
     Null and empty texts and items, and those with fewer than 13 words, are in no pair. Repeated rows give one row.
     The items are a stated query set, taken in blocks; a block is broadcast, the texts are never.
     """
@@ -237,7 +240,7 @@ def leaks(
     for last, row in _with_end(wanted.toLocalIterator()):
         w = P.words(row.t) if row is not None else []
         if part and (last or held + len(w) > block):
-            out = out.unionByName(_block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, paraphrase, seed))
+            out = out.unionByName(_block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, paraphrase, seed, reworded))
             part, n, held = [], n + 1, 0
         if len(w) >= P.RUN:
             part.append((row.k, w))
@@ -251,7 +254,7 @@ def _with_end(rows: Iterator) -> Iterator:
     yield True, None
 
 
-def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, paraphrase, seed) -> DataFrame:
+def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, paraphrase, seed, reworded) -> DataFrame:
     names = sorted({w for _, ws in part for w in ws})
     vocabulary = {w: i for i, w in enumerate(names)}
     size = len(names)
@@ -267,7 +270,7 @@ def _block(rows, scratch, n, part, key, item_key, item_type, rank, threshold, pa
     telling = np.zeros(size + 2, bool)
     telling[:size] = [any(c.isdigit() for c in w) for w in names]
     own = np.where(own >= 0, own, P.PAD).astype(np.int32)
-    found = _search(ids, weighted, own, item.astype(np.int32), telling, P.Index(flat, lengths, size, paraphrase), threshold, paraphrase)
+    found = _search(ids, weighted, own, item.astype(np.int32), telling, P.Index(flat, lengths, size, paraphrase), threshold, paraphrase, reworded)
     keys = rows.sparkSession.createDataFrame([(i, k) for i, (k, _) in enumerate(part)], f"item int, k {item_type.simpleString()}")
     kind = F.when(F.col("longest_run") >= P.RUN, "verbatim").otherwise("paraphrase").alias("kind")
     return found.join(F.broadcast(keys), "item").select(F.col("key").alias(key), F.col("k").alias(item_key), kind, "longest_run", "longest_subsequence").distinct()

@@ -178,3 +178,12 @@ def test_recall_of_planted_rewrites(spark):
     found = sum((d, d % 40) in got for d in range(200))
     print("rewrites found", found, "others", len(got) - found)
     assert found >= 180 and len(got) - found <= 2
+
+
+def test_verbatim_alone(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(rng.sample(WORDS, 40))) for k in range(20)]
+    docs = [(d, " ".join([*sentence(20), *P.words(items[d % 20][1])[: rng.randrange(8, 40)], *sentence(9)])) for d in range(80)]
+    t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = [(r.doc_id, r.item_id, r.kind) for r in leaks(t, "doc_id", "text", i, "item_id", "item_text", reworded=False).collect()]
+    assert {x[:2] for x in got} == brute(docs, items) and {x[2] for x in got} == {"verbatim"} and len(got) == len({x[:2] for x in got})
