@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from arborix.operators import chunks
+from arborix.session import Scratch
+
 COPY = ["family_id", "species", "gene_copy_id"]
 #: Copies of one contig at most so far apart stand in tandem (fixed value).
 TANDEM_GAP = 250_000
@@ -47,22 +50,28 @@ def adjacencies(occurrences: DataFrame) -> DataFrame:
     return rows.where("right_occurrence_id is not null").select(*COPY, "adjacency_no", F.col("occurrence_id").alias("left_occurrence_id"), "right_occurrence_id")
 
 
+def _islands(df: DataFrame, keys: list[str], opens) -> DataFrame:
+    """Intervals with `_island`: a new one begins where ``opens`` (of the largest end so far) says so.
+
+    Keys of any size are cut in chunks. Equal intervals are told apart by a number, so that both passes take them in one order.
+    """
+    scratch, order = Scratch(df.sparkSession, "islands"), ["start", "end", "_row"]
+    spans = df.select(*keys, "start", "end", F.monotonically_increasing_id().alias("_row"))
+    reached = chunks.running_max(chunks.chunked(spans, keys, order, scratch), keys, order, F.col("end"), "_reach", scratch)
+    first = (F.col("_reach").isNull() | opens(F.col("_reach"))).cast("long")
+    return chunks.running_sum(reached, keys, order, first, "_island", scratch).drop("_reach", "chunk")
+
+
 def merged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Closed intervals merged where they overlap or touch, by running maximum of the ends."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    first = (reach.isNull() | (F.col("start") > reach + 1)).cast("long")
-    island = F.sum("_first").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_first", first).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged")).drop("_island")
+    rows = _islands(df, keys, lambda reach: F.col("start") > reach + 1)
+    return rows.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged")).drop("_island")
 
 
 def components(df: DataFrame, keys: list[str]) -> DataFrame:
     """Half-open components: a new one begins where the start isn't below the largest end so far (touching splits)."""
-    order = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.withColumn("_first", (reach.isNull() | (F.col("start") >= reach)).cast("long"))
-    rows = rows.withColumn("component", F.sum("_first").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "component").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_members"))
+    rows = _islands(df, keys, lambda reach: F.col("start") >= reach)
+    return rows.groupBy(*keys, F.col("_island").alias("component")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_members"))
 
 
 def introns(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,8 +91,9 @@ def depth(df: DataFrame, keys: list[str], start: Column, end: Column) -> DataFra
     """
     events = df.select(*keys, F.explode(F.array(F.struct((start - 1).alias("at"), F.lit(1).alias("d")), F.struct(end.alias("at"), F.lit(-1).alias("d")))).alias("e"))
     places = events.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    order = W.partitionBy(*keys).orderBy("at")
-    runs = places.withColumn("depth", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("span", F.lead("at").over(order) - F.col("at"))
+    scratch = Scratch(df.sparkSession, "depth")
+    runs = chunks.running_sum(chunks.chunked(places, keys, ["at"], scratch), keys, ["at"], F.col("d"), "depth", scratch)
+    runs = chunks.following(runs, keys, "at", "next").withColumn("span", F.col("next") - F.col("at"))
     sum_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("span"))), F.lit(0))
     got = runs.groupBy(*keys).agg(sum_if(F.col("depth") > 0).alias("covered"), sum_if(F.col("depth") > 1).alias("overlap"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     n = df.groupBy(*keys).agg(F.count("*").alias("n_parts"))
@@ -117,7 +127,6 @@ def majority_path(paths: DataFrame, group: list[str], path: str) -> DataFrame:
 
 def disjointness_violations(df: DataFrame, keys: list[str], owner: str) -> DataFrame:
     """Rows that overlap an earlier one of another owner: the running maximum end of each row, with its owner."""
-    order = W.partitionBy(*keys).orderBy("start", "end", owner)
-    last = F.max(F.struct("end", owner)).over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.withColumn("_p", last)
+    scratch, order = Scratch(df.sparkSession, "disjointness"), ["start", "end", owner]
+    rows = chunks.running_max(chunks.chunked(df, keys, order, scratch), keys, order, F.struct("end", owner), "_p", scratch)
     return rows.where((F.col("start") <= F.col("_p.end")) & (F.col(owner) != F.col(f"_p.{owner}"))).select(*keys, F.col(f"_p.{owner}").alias("left_owner"), F.col(owner).alias("right_owner"), "start", F.col("_p.end").alias("reach"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from arborix.functions.scores import TIE
+from arborix.operators import chunks
 from arborix.session import Scratch
 
 
@@ -34,17 +35,9 @@ def reciprocal_best(matches: DataFrame, key: str, left: str, right: str, score:
 def cumulative(df: DataFrame, keys: list[str], by: str, weight: str, scratch: Scratch) -> DataFrame:
     """Rows with `chunk`, `upto` (the running sum of the weight in order of ``by``) and `whole` (the key's sum).
 
-    Rows are cut by key and order into chunks of about equal size; only one row a chunk goes through the key's own window.
     The pairs of keys and ``by`` must be distinct; rows with a null key belong to none.
     """
-    rows = scratch.write(df, "rows")
-    chunks = rows.repartitionByRange(*keys, by).withColumn("chunk", F.spark_partition_id())
-    inside = W.partitionBy(*keys, "chunk").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
-    local = scratch.write(chunks.withColumn("_u", F.sum(weight).over(inside)), "local")
-    whole = W.partitionBy(*keys)
-    before = F.coalesce(F.sum("_t").over(whole.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = local.groupBy(*keys, "chunk").agg(F.sum(weight).alias("_t")).select(*keys, "chunk", before.alias("_b"), F.sum("_t").over(whole).alias("whole"))
-    return local.join(totals, [*keys, "chunk"]).withColumn("upto", F.col("_b") + F.col("_u")).drop("_b", "_u")
+    return chunks.running_sum(chunks.chunked(df, keys, [by], scratch), keys, [by], F.col(weight), "upto", scratch, "whole")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -84,8 +77,8 @@ def bh_adjust(df: DataFrame, tests: list[str], p: str, out: str = "q_value") ->
     down = W.partitionBy(*tests, "chunk").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
     q = scratch.write(q.withColumn("_m", F.min("_v").over(down)), "minima")
     later = F.min("_c").over(W.partitionBy(*tests).orderBy("chunk").rowsBetween(1, W.unboundedFollowing))
-    chunks = q.groupBy(*tests, "chunk").agg(F.min("_v").alias("_c")).select(*tests, "chunk", later.alias("_l"))
-    q = q.join(chunks, [*tests, "chunk"]).select(*tests, p, F.least(F.lit(1.0), F.col("_m"), F.col("_l")).alias(out))
+    ends = q.groupBy(*tests, "chunk").agg(F.min("_v").alias("_c")).select(*tests, "chunk", later.alias("_l"))
+    q = q.join(ends, [*tests, "chunk"]).select(*tests, p, F.least(F.lit(1.0), F.col("_m"), F.col("_l")).alias(out))
     return df.join(q, [*tests, p], "left")
 
 
