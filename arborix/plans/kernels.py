@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborix.functions import scores, status
 from arborix.kernels import alignment, chains, configurations as X, markov
@@ -16,7 +16,7 @@ from arborix.operators.asof import asof_join
 from arborix.operators.clusters import greedy_cluster_sizes
 from arborix.operators.grouped import LARGEST, by_group
 from arborix.plans.matches import _M, _T, _matches
-from arborix.plans.sequences import _seq
+from arborix.plans.sequences import _seq, neighbours
 from arborix.plans.structure import COPY, OCC, _exonic, _occ
 from arborix.plans.trees import INNER, OUTER, _cells, _edges, _tips
 from arborix.operators import sites
@@ -30,8 +30,7 @@ COST = ((0, 1, 2), (1, 0, 1), (2, 1, 0))
 
 def neighbour_alignments(spark, d):
     """Optimal global alignments of each sequence with the one before it in its source; long pairs are refused."""
-    order = W.partitionBy("source").orderBy("doc_id")
-    pairs = _seq(spark, d).withColumn("before", F.lag("seq").over(order)).where("before is not null").select("doc_id", "seq", "before").repartition(4 * spark.sparkContext.defaultParallelism)
+    pairs = neighbours(_seq(spark, d)).select("doc_id", "seq", "before").repartition(4 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -5,9 +5,10 @@ Sequences are what is left of A, C, G and T in the texts of documents, whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborix.functions import scores, sequence as Q
+from arborix.operators import chunks
 from arborix.session import Scratch, table
 from arborix.sources import annotation as A, sequences, tabular
 
@@ -16,6 +17,18 @@ def _seq(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", "source", Q.clean(F.col("text")).alias("seq")).where("seq <> ''")
 
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """doc_id, seq and the sequence before it in its source (`before`).
+
+    Neighbours are found among the ids alone, in chunks, so that no source is one task; then both sequences are joined to the pair.
+    """
+    scratch = Scratch(rows.sparkSession, "neighbours")
+    ids = rows.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("of"))
+    pairs = chunks.following(scratch.write(chunks.chunked(ids, ["of"], ["doc_id"], scratch), "chunks"), ["of"], "doc_id", "next").where("next is not null")
+    first = rows.select("doc_id", F.col("seq").alias("before"))
+    return pairs.select("doc_id", "next").join(first, "doc_id").select(F.col("next").alias("doc_id"), "before").join(rows.select("doc_id", "seq"), "doc_id")
+
+
 def reverse_complements(spark, d):
     r = Q.reverse_complement(F.col("seq"))
     return _seq(spark, d).select("doc_id", F.length("seq").alias("length"), F.md5(r).alias("digest"), F.substr(r, F.lit(1), F.lit(12)).alias("head"))
@@ -23,9 +36,7 @@ def reverse_complements(spark, d):
 
 def neighbour_identity(spark, d):
     """Ungapped identity of each sequence with the one before it in its source."""
-    order = W.partitionBy("source").orderBy("doc_id")
-    rows = _seq(spark, d).withColumn("before", F.lag("seq").over(order)).where("before is not null")
-    return rows.select("doc_id", F.round(Q.ungapped_identity(F.col("seq"), F.col("before")), 6).alias("identity"))
+    return neighbours(_seq(spark, d)).select("doc_id", F.round(Q.ungapped_identity(F.col("seq"), F.col("before")), 6).alias("identity"))
 
 
 def splice_motifs(spark, d):
