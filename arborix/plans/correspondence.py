@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -255,12 +252,27 @@ def model_fits(spark, d):
     rows = rows.groupBy("p_brand", "pattern").agg(F.count("*").alias("w"))
 
     def kernel(pdf: pd.DataFrame) -> dict:
-        pdf = pdf.sort_values("pattern")
+        pdf = pdf.sort_values("pattern")  # one order of sums
         return rates.compare(edges, tips, list(pdf["pattern"]), pdf["w"].to_numpy(float))
 
     return by_group(rows, ["p_brand"], kernel, "fit string, er_rate double, er_loglik double, gain double, loss double, ard_loglik double, p_value double, chosen string", largest=1_000_000)
 
 
+def foreground_fits(spark, d, region: str = "ASIA"):
+    """Whether the rates of each brand differ on the branches of a declared region from those of the rest of the tree."""
+    found = _edges(spark, d).orderBy("level", "child").collect()
+    tips, edges = _tips(spark, d), [(r.child, r.parent, r.length) for r in found]
+    foreground = frozenset(r.child for r in found if region in (r.child, r.parent))
+    rows = S.patterns(_cells(spark, d), "p_partkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    rows = rows.groupBy("p_brand", "pattern").agg(F.count("*").alias("w"))
+
+    def kernel(pdf: pd.DataFrame) -> dict:
+        pdf = pdf.sort_values("pattern")
+        return rates.compare_foreground(edges, tips, list(pdf["pattern"]), pdf["w"].to_numpy(float), foreground)
+
+    return by_group(rows, ["p_brand"], kernel, "fit string, gain double, loss double, times double, null_loglik double, foreground_loglik double, p_value double", largest=1_000_000)
+
+
 def _views(spark, d) -> DataFrame:
     """Inner changes of the witness of each character and region, under three readings of what is unknown (a scenario each)."""
     cells = _cells(spark, d)
@@ -302,7 +314,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_evidence, edge_eligibility, missing_elements, site_matrix, universe_validation, ancestral_consistency, event_tiers, history_witness, path_completeness, input_validation, backend_baselines, native_paths,
-        catalogue_axes, projection_compatibility, anchor_cover, model_fits, robust_events, gene_summaries, element_assignment,
+        catalogue_axes, projection_compatibility, anchor_cover, model_fits, foreground_fits, robust_events, gene_summaries, element_assignment,
     )
 }
 

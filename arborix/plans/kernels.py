@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,23 +262,23 @@ def tract_likelihood(spark, d):
     return _per_pattern(sites.patterns(_cells(spark, d), "p_partkey"), "log_likelihood double", compute)
 
 
-def bootstrap_changes(spark, d, draws: int = 200):
-    """Interval of the mean cost of a brand's characters, by resampling characters: multiplicities are Poisson(1) of a hash.
+def bootstrap_changes(spark, d, draws: int = 200, seed: int = 11):
+    """Interval of the mean cost of a brand's characters, by resampling characters with Poisson(1) multiplicities.
 
-    Each draw is a sum over all characters with weights that depend on character and draw alone, so the rows are read
-    once and no group is gathered.
+    Characters of one brand and cost are alike, and the sum of n such multiplicities is Poisson(n), so a draw needs the
+    counts of each cost alone: the characters are counted once, and a brand is as many rows as it has costs.
     """
-    rows = nstate_parsimony(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
-    u = F.shiftrightunsigned(F.xxhash64("p_partkey", "draw"), 11).cast("double") / float(1 << 53)
-    steps, total = [], 0.0
-    for k in range(8):
-        total += float(np.exp(-1.0)) / float(np.prod(range(1, k + 1)) or 1)
-        steps.append(total)
-    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", times)
-    means = drawn.groupBy("p_brand", "draw").agg(F.try_divide(F.sum(F.col("k") * F.col("min_cost")).cast("double"), F.sum("k")).alias("mean"))
-    q = lambda p: F.round(F.percentile("mean", p), 6)
-    return means.groupBy("p_brand").agg(q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"))
+    rows = nstate_parsimony(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand", "min_cost").agg(F.count("*").alias("n"))
+
+    def kernel(pdf: pd.DataFrame) -> dict:
+        pdf = pdf.sort_values("min_cost")
+        rng = np.random.default_rng([seed, zlib.crc32(str(pdf["p_brand"].iloc[0]).encode())])
+        k = rng.poisson(pdf["n"].to_numpy(), (draws, len(pdf)))
+        means = (k @ pdf["min_cost"].to_numpy())[k.sum(1) > 0] / k.sum(1)[k.sum(1) > 0]
+        low, median, high = np.quantile(means, (0.025, 0.5, 0.975)) if len(means) else (None,) * 3
+        return {"low": round(float(low), 6), "median": round(float(median), 6), "high": round(float(high), 6)} if len(means) else {"low": None, "median": None, "high": None}
+
+    return by_group(rows, ["p_brand"], kernel, "low double, median double, high double").drop("status")
 
 
 def precision_recall(spark, d):

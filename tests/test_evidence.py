@@ -108,3 +108,18 @@ def test_fits_against_a_grid():
     assert ard["log_likelihood"] >= er["log_likelihood"] - 1e-6
     got = R.compare(edges, tips, patterns, weights)
     assert got["chosen"] in ("ER", "ARD", None) and R.compare(edges, tips, ["11?1"], np.ones(1))["fit"] == "no_observed_contrast"
+
+
+def test_foreground_fits():
+    edges = [("a", "x", 0.7), ("b", "x", 0.7), ("c", "y", 0.7), ("d", "y", 0.7), ("x", "r", 0.4), ("y", "r", 0.4)]
+    tips, rng = ["a", "b", "c", "d"], np.random.default_rng(5)
+    patterns = ["".join(x) for x in itertools.product("01", repeat=4)]
+    letters = np.array([list(p) for p in patterns])
+    known = {t: np.stack([letters[:, i] != "1", letters[:, i] != "0"]).astype(float) for i, t in enumerate(tips)}
+    fore = frozenset("ab")
+    chance = np.array([np.exp(R.log_likelihood(edges, {t: v[:, [k]] for t, v in known.items()}, np.ones(1), 0.2, 0.3, 0.4, 6.0, fore)) for k in range(16)])
+    assert abs(chance.sum() - 1) < 1e-9
+    weights = rng.multinomial(4_000, chance / chance.sum()).astype(float)
+    got = R.compare_foreground(edges, tips, patterns, weights, fore)
+    assert got["fit"] == "tested" and 3 < got["times"] < 12 and got["p_value"] < 0.001 and got["foreground_loglik"] > got["null_loglik"]
+    assert R.compare_foreground(edges, tips, ["1111"], np.ones(1), fore)["fit"] == "no_observed_contrast"
