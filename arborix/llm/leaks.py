@@ -176,11 +176,15 @@ def _search(ids: DataFrame, basis: np.ndarray, own: np.ndarray, item: np.ndarray
         rows, owner = P.windows(*lists, P.STEP, P.RUN)
         keep = ((rows >= 0) & (rows < index.size)).sum(1) >= P.RUN
         rows, owner = rows[keep], owner[keep]
+        mine, theirs = P.marks(rows, index.size), P.signatures(P.marks(own, index.size))
+        least = min(P.RUN, paraphrase)
         for lo in range(0, len(rows), ROWS):
             part = rows[lo : lo + ROWS]
             near, which = np.divmod(np.flatnonzero(P.project(part, basis) @ latent.T >= threshold), len(own))
             for at in range(0, len(near), PAIRS):
                 x, y = near[at : at + PAIRS], which[at : at + PAIRS]
+                both = P.promising(mine[lo : lo + ROWS], x, theirs[y], least)
+                x, y = x[both], y[both]
                 yield check(part[x], own[y], owner[lo + x], item[y], telling)
 
     def exact_pairs(lists: tuple[np.ndarray, ...], index: P.Index, telling: np.ndarray) -> Iterator[np.ndarray]:

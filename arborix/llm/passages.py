@@ -63,6 +63,28 @@ def project(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def marks(rows: np.ndarray, size: int) -> np.ndarray:
+    """The bit (0 to 63) of each word of windows that an item can hold, 64 for every other place."""
+    return np.where((rows >= 0) & (rows < size), rows % 61, 64).astype(np.uint8)
+
+
+def signatures(bits: np.ndarray) -> np.ndarray:
+    """The bits of each window's words in one number."""
+    return np.bitwise_or.reduce(np.where(bits < 64, np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), axis=1) if len(bits) else np.empty(0, np.uint64)
+
+
+def promising(bits: np.ndarray, x: np.ndarray, signature: np.ndarray, least: int) -> np.ndarray:
+    """The pairs (window x of ``bits`` and a signature) in which at least ``least`` places of x can stand in the other.
+
+    A place whose bit isn't in the signature has no equal word there, so nothing that ``sharing`` keeps is lost.
+    """
+    n = np.zeros(len(x), np.uint8)
+    wide = np.where(bits < 64, bits, 63).astype(np.uint64)  # bit 63 is no word's
+    for j in range(bits.shape[1]):
+        n += ((signature >> wide[x, j]) & np.uint64(1)).astype(np.uint8)
+    return np.flatnonzero(n >= least)
+
+
 def sharing(a: np.ndarray, b: np.ndarray, least: int, chunk: int = 4_096) -> np.ndarray:
     """The pairs of windows with at least ``least`` places of a whose word also stands in b: all that can pass the checks."""
     small = np.int16 if max(a.max(initial=0), b.max(initial=0)) < 32_000 else np.int32
@@ -149,13 +171,21 @@ class Index:
     def verbatim(self, hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """Text, item, both places of the first word and the number of words of each common run of RUN words or more."""
         text, item, p, q = hits
-        order = np.lexsort((p, q - p, item, text))
-        text, item, p, q = (x[order] for x in (text, item, p, q))
-        new = np.ones(len(p), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(p) != 1) | (np.diff(q) != 1)
+        if not len(p):
+            return text, item, p, q, p
+        # pair, diagonal and place in one number: in order, a run counts up by one
+        place, shift = int(p.max()) + 2, int(p.max()) + self.longest + 1
+        if (int(text.max()) + 1) * len(self.lengths) * shift * place < 1 << 62:
+            code = ((text * len(self.lengths) + item) * shift + (p - q + self.longest)) * place + p
+            order = np.argsort(code, kind="stable")
+            new = np.append(True, np.diff(code[order]) != 1)
+        else:
+            order = np.lexsort((p, q - p, item, text))
+            same = [np.diff(x[order]) for x in (text, item, p, q)]
+            new = np.append(True, (same[0] != 0) | (same[1] != 0) | (same[2] != 1) | (same[3] != 1))
         first = np.flatnonzero(new)
         words = np.diff(np.append(first, len(p))) + self.gram - 1
-        at, words = first[words >= RUN], words[words >= RUN]
+        at, words = order[first[words >= RUN]], words[words >= RUN]
         return text[at], item[at], p[at], q[at], words
 
     def near(self, hits: tuple[np.ndarray, ...], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

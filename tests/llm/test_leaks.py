@@ -187,3 +187,14 @@ def test_verbatim_alone(spark):
     t, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
     got = [(r.doc_id, r.item_id, r.kind) for r in leaks(t, "doc_id", "text", i, "item_id", "item_text", reworded=False).collect()]
     assert {x[:2] for x in got} == brute(docs, items) and {x[2] for x in got} == {"verbatim"} and len(got) == len({x[:2] for x in got})
+
+
+def test_signatures_lose_no_pair():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-2, 90, (400, P.LENGTH)).astype(np.int32), rng.integers(-2, 70, (400, P.LENGTH)).astype(np.int32)
+    a[:60] = b[:60]
+    a[30:60, :6] = 80
+    x, y = np.divmod(np.arange(400 * 400), 400)
+    want = set(P.sharing(np.where((a >= 0) & (a < 70), a, -1)[x], np.where(b >= 0, b, P.PAD)[y], 13).tolist())
+    got = set(P.promising(P.marks(a, 70), x, P.signatures(P.marks(b, 70))[y], 13).tolist())
+    assert want and want <= got and len(got) < 400 * 400 / 5
